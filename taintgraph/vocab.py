@@ -28,3 +28,59 @@ AXES = {
     "publication": ["example_from_publication"],
     "assay": ["example_from_assay"],
 }
+
+#: axes of the residual-leak audit: those above and their union
+AXES_WITH_FULL = {**AXES, "full": sorted({t for ts in AXES.values() for t in ts})}
+
+#: axes of the horizon curve (fixed values)
+HORIZON_AXES = {
+    "ligand_axis": ["example_has_ligand", "ligand_exact", "ligand_parent_exact", "ligand_fingerprint_exact", "ligand_similar", "ligand_scaffold"],
+    "all": AXES_WITH_FULL["full"],
+}
+
+#: axes as the schema declares them (fixed values)
+SCHEMA_AXES = {
+    "ligand": ["example_has_ligand", "ligand_exact", "ligand_parent_exact", "ligand_fingerprint_exact", "ligand_similar"],
+    "scaffold": ["example_has_ligand", "ligand_scaffold"],
+    "protein": ["example_has_protein", "protein_exact", "protein_in_cluster"],
+    "assay": ["example_from_assay", "example_from_publication"],
+    "source": ["example_from_source", "source_decoy_protocol"],
+    "time": ["example_has_timebin", "time_overlap"],
+}
+
+#: raw edge type -> canonical edge type, where they differ (fixed values)
+EDGE_TYPE = {
+    "example_targets_protein": "example_has_protein",
+    "ligand_has_scaffold": "ligand_scaffold",
+    "ligand_similar_to_ligand": "ligand_similar",
+    "same_inchikey_as": "ligand_exact",
+    "same_parent_inchikey_as": "ligand_parent_exact",
+    "example_uses_decoy_protocol": "source_decoy_protocol",
+}
+
+#: default leak weights (fixed values)
+LEAK_WEIGHT = {
+    "example_has_ligand": 1.00,
+    "ligand_exact": 1.00,
+    "ligand_parent_exact": 0.95,
+    "ligand_fingerprint_exact": 0.95,
+    "ligand_scaffold": 0.70,
+    "ligand_similar": 0.65,
+    "example_has_protein": 1.00,
+    "protein_exact": 1.00,
+    "protein_cluster_90": 0.85,
+    "protein_cluster_40": 0.60,
+    "protein_cluster_30": 0.45,
+    "example_from_assay": 0.75,
+    "example_from_publication": 0.55,
+    "example_from_source": 0.35,
+    "source_decoy_protocol": 0.50,
+    "time_overlap": 0.40,
+    "example_in_trainset": 1.00,
+    "example_has_timebin": 1.00,
+}
+
+#: degree above which a node is flagged as a hub (fixed value)
+HUB_DEGREE = 1000
+#: hydration sources a side table may name (fixed values)
+SIDE_SOURCES = ["chembl", "bindingdb", "litpcba", "dude", "dekois", "pdbbind", "bayesbind", "bigbind"]

@@ -153,7 +153,7 @@ def residue(docs: DataFrame, share: float = 0.3, least_docs: int = 20) -> DataFr
     # most texts hold nothing of the kind: they leave before they are cut into sentences
     x = x.where(F.col("t").rlike("(?m)" + any_kind))
     quoted = F.regexp_replace("t", r"(?<=\w )“[^”\n]{1,80}”(?= \w)", " ")
-    s = F.split(quoted, r"\n+|(?<=[.!?;:])\s+(?=[\p{Lu}\p{N}<\[{(“«\"$@_-])|(?<=。)")
+    s = F.split(quoted, r"\n+|(?:(?<=[.!?;:])|(?<=[.!?;:][)”’\"']))\s+(?=[\p{Lu}\p{N}<\[{(“«\"$@_+-])|(?<=。)")
     hard = F.filter(s, lambda p: p.rlike(any_kind) & ~p.rlike(DISCUSSED))
     flags = [F.exists(F.col("hard"), _holds(r)).alias(k) for k, r in KINDS.items()]
     return x.select("doc_id", hard.alias("hard")).where("size(hard) > 0").select("doc_id", *flags).distinct()

@@ -26,12 +26,17 @@ from pyspark.sql import functions as F
 
 #: soft hyphen and zero-width characters, dropped before words are read (fixed values)
 INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
 _WORD = re.compile(r"[^\W_]+")
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(INVISIBLE).lower()) if text else []
+    if not text:
+        return []
+    if not text.isascii() and _INVISIBLE.search(text):
+        text = text.translate(INVISIBLE)
+    return _WORD.findall(text.lower())
 
 
 def _grams(stream: np.ndarray, q: int) -> np.ndarray:
@@ -78,6 +83,8 @@ class ItemIndex:
         self.bits = 22
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self.keys >> np.uint64(64 - self.bits)] = True
+        # characters of the shortest run of min_words words of each item: no leak of the item is shorter
+        self.shortest = np.array([min((len(" ".join(w[i : i + min_words])) for i in range(len(w) - min_words + 1)), default=1 << 30) for w in self.words], np.int64)
         self.runs = [{tuple(w[i : i + min_words]) for i in range(len(w) - min_words + 1)} for w in self.words]
 
 
@@ -98,8 +105,8 @@ def edit_distance_within(a: str, b: str, edits: int) -> bool:
     return min(row.values(), default=far) <= edits
 
 
-def _regions(index: ItemIndex, texts: list[str], need: int, edits: int) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first and last character in the document) of bands with at least ``need`` hits."""
+def _regions(index: ItemIndex, texts: list[str], need: np.ndarray, edits: int) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first and last character in the document) of bands with at least ``need[item]`` hits."""
     q = index.q
     lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     stream = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -126,18 +133,25 @@ def _regions(index: ItemIndex, texts: list[str], need: int, edits: int) -> Itera
     width = edits + 1
     for shift in ((0,) if edits == 0 else (0, width)):
         band = (diag + shift) // (width if edits == 0 else 2 * width)
-        order = np.lexsort((local, band, item, doc))
+        # bands that cannot reach the bound leave before the sort: a bucket counts at least what each band in it does
+        bucket = (((doc * len(index.ids) + item) * np.int64(0x9E3779B1) + band) * np.int64(0x9E3779B1) >> 7) & 0xFFFFF
+        keep = np.flatnonzero(np.bincount(bucket, minlength=1 << 20)[bucket] >= need[item])
+        if not len(keep):
+            continue
+        order = keep[np.lexsort((local[keep], band[keep], item[keep], doc[keep]))]
         d, i, b, p = doc[order], item[order], band[order], local[order]
         new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(d)))
-        for f, s in zip(first[size >= need], size[size >= need]):
+        enough = size >= need[i[first]]
+        for f, s in zip(first[enough], size[enough]):
             yield int(d[f]), int(i[f]), int(p[f]), int(p[f + s - 1]) + q
 
 
 def _search(index: ItemIndex, min_chars: int, edits: int, rows_at_once: int = 256):
-    need = min_chars - index.q + 1 - index.q * edits
-    if need < 1:
+    shortest = np.maximum(index.shortest, min_chars) if not edits else np.full(len(index.ids), min_chars)
+    need = shortest - index.q + 1 - index.q * edits
+    if len(need) and need.min() < 1:
         raise ValueError("q is too long for this edit budget")
 
     def exact(words_in: str, items_at: int) -> bool:

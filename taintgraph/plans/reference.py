@@ -238,7 +238,7 @@ def top5_assay_cap(spark, sf):
 @query(
     """with d as (select doc_id, min(source) s from documents group by 1), a as (select distinct * from activities)
 select case when s is not null and pchembl_value is not null then 'full' when s is not null then 'document' when assay_id is not null then 'assay' else 'none' end as provenance_level,
-case when pchembl_value is not null then 1.0 else 0.5 end as confidence, count(*) as n from a left join d using (doc_id) group by 1, 2"""
+case when pchembl_value is not null then 1.0::double else 0.5::double end as confidence, count(*) as n from a left join d using (doc_id) group by 1, 2"""
 )
 def provenance_level(spark, sf):
     p = build.provenance(table(spark, sf, "activities").distinct(), table(spark, sf, "documents"))
@@ -730,11 +730,12 @@ def _pw() -> str:
 cc as (select *, coalesce(sum(n) over (partition by source, rep order by score rows between unbounded preceding and 1 preceding), 0) below from ss),
 bb as (select source, rep, sum(p * (2 * below + n))::double / (2 * sum(p) * sum(n)) a from cc group by 1, 2 having sum(p) > 0 and sum(n) > 0),
 qq as (select source, quantile_cont(a, 0.025) lower, quantile_cont(a, 0.975) upper from bb group by 1)
-select p.source, p.auroc as point, lower, upper, n_pos, n_neg from {kg.sql_auroc("pred", "source", "fold = 'test'")} p left join qq using (source)"""
+select p.source, p.auroc as point, round(lower, 9) as lower, round(upper, 9) as upper, n_pos, n_neg from {kg.sql_auroc("pred", "source", "fold = 'test'")} p left join qq using (source)"""
     )
 )
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap_interval(kg.predictions(spark, sf).where("fold = 'test'"), ["source"], "example_id", 40)
+    b = stats.bootstrap_interval(kg.predictions(spark, sf).where("fold = 'test'"), ["source"], "example_id", 40)
+    return b.withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9)})
 
 
 @query()

@@ -5,8 +5,9 @@ and are subtracted. What remains is read sentence by sentence: a sentence is evi
 filler, a note to fill in later, an error message or a demand for scripts, unless the sentence only talks about such a
 thing (it says so itself, or stands in quotation marks within other words).
 
-Everything is a column expression: one pass over the documents, an aggregate of line counts with partial sums before
-the shuffle, and a join of the few boilerplate lines per host, broadcast by the planner only if small.
+Most documents hold nothing of the kind. They leave first, by a linear-time match of the same patterns without their
+side conditions, over Arrow batches; what is left is judged by column expressions. Line counts are partial sums before
+their shuffle, and the few boilerplate lines per host are joined to the candidates only.
 
 Defined cases: null, empty and blank texts are never found; a null host is a host of its own; repeated documents come
 out once per id; texts of any length are read whole; empty tables give empty results; extra columns are never read.
@@ -14,6 +15,11 @@ out once per id; texts of any length are read whole; empty tables give empty res
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +56,14 @@ SLOT = "|".join(
     ]
 )
 
+#: the same word over and over; it refers back to itself, so the linear-time matcher cannot read it
+REPEATED = r"(?i:(?<![\w-])([a-z]{2,12})(?:[ \t]+\1){3,}(?![\w-]))"
+
 #: filler, or a note that content is to come
 FILLER = "|".join(
     [
         rf"(?i:(?:\b(?:{'|'.join(LOREM)})\b[\s,.;]*){{5,}})",
-        r"(?i:(?<![\w-])([a-z]{2,12})(?:[ \t]+\1){3,}(?![\w-]))",
+        REPEATED,
         r"(?i)\b(?:text|content|description|abstract|summary|title|name|caption|paragraph|introduction)s? (?:goes?|will go|comes?) here\b",
         r"(?i)\byour (?:own )?(?:introduction|text|content|description|abstract|summary|title|name|caption|paragraph)s? (?:goes )?here\b",
         r"(?i)\b(?:content|page|section|details|more|text|description|information) (?:is |are )?coming soon\b|\bcoming soon\W*$",
@@ -126,6 +135,60 @@ def _norm_line(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), r"\d+", "0")
 
 
+def without_conditions(pattern: str) -> str:
+    """The pattern without look-arounds, line anchors and word ends (engines differ on those next to letters beyond
+    ASCII): it matches wherever the pattern does, and more."""
+    out, i = [], 0
+    in_class = False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append("" if pattern[i + 1] == "b" else pattern[i : i + 2])
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "^$":
+            i += 1
+            continue
+        elif pattern.startswith(("(?<=", "(?<!", "(?=", "(?!"), i):
+            depth, j, inner = 0, i, False
+            while True:
+                d = pattern[j]
+                if d == "\\":
+                    j += 2
+                    continue
+                if inner:
+                    inner = d != "]"
+                elif d == "[":
+                    inner = True
+                elif d == "(":
+                    depth += 1
+                elif d == ")":
+                    depth -= 1
+                    if not depth:
+                        break
+                j += 1
+            i = j + 1
+            continue
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wide = [without_conditions(p.replace(REPEATED + "|", "")) for p in KINDS.values()]
+    again = re.compile(REPEATED)
+    for b in batches:
+        text = b.column("text")
+        hit = pa.array([again.search(t) is not None for t in text.to_pylist()], pa.bool_())
+        for p in wide:
+            hit = pc.or_(hit, pc.match_substring_regex(text, p))
+        yield b.filter(hit)
+
+
 def _holds(pattern: str):
     return lambda p: p.rlike(pattern)
 
@@ -146,12 +209,11 @@ def residue(docs: DataFrame, share: float = 0.3, least_docs: int = 20) -> DataFr
     ``docs``: doc_id, host, text."""
     d = docs.where("text is not null and trim(text) <> ''")
     lines = host_boilerplate(d, share, least_docs).groupBy("host").agg(F.collect_set("line").alias("boiler"))  # at most 1 / share lines a host document
-    x = d.join(lines, d["host"].eqNullSafe(lines["host"]), "left").select("doc_id", "text", "boiler")
+    c = d.select("doc_id", "host", "text").mapInArrow(_candidates, d.select("doc_id", "host", "text").schema)
+    x = c.join(lines, c["host"].eqNullSafe(lines["host"]), "left").select("doc_id", "text", "boiler")
     kept = F.filter(F.split("text", r"[\r\n]+"), lambda p: F.col("boiler").isNull() | ~F.array_contains("boiler", _norm_line(p)))
     x = x.select("doc_id", F.array_join(kept, "\n").alias("t"))
     any_kind = "|".join(KINDS.values())
-    # most texts hold nothing of the kind: they leave before they are cut into sentences
-    x = x.where(F.col("t").rlike("(?m)" + any_kind))
     quoted = F.regexp_replace("t", r"(?<=\w )“[^”\n]{1,80}”(?= \w)", " ")
     s = F.split(quoted, r"\n+|(?:(?<=[.!?;:])|(?<=[.!?;:][)”’\"']))\s+(?=[\p{Lu}\p{N}<\[{(“«\"$@_+-])|(?<=。)")
     hard = F.filter(s, lambda p: p.rlike(any_kind) & ~p.rlike(DISCUSSED))

@@ -42,9 +42,9 @@ def read_tsv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 def read_wide_tsv(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFrame:
     """Named columns of a wide TSV (header name -> new name); lines that are too short are skipped."""
     head = spark.read.option("sep", "\t").option("header", True).csv(path).columns
-    schema = ", ".join(f"`{c}` string" for c in head) + ", `__bad` string"
-    rows = spark.read.option("sep", "\t").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("enforceSchema", True).csv(path, schema=schema)
-    return rows.where("__bad is null").select(*[F.col(f"`{c}`").alias(n) for c, n in wanted.items()])
+    cells = F.split("value", "\t", -1)
+    rows = spark.read.text(path).where(F.col("value") != "\t".join(head)).withColumn("cells", cells).where(F.size("cells") >= len(head))
+    return rows.select(*[F.nullif(F.col("cells")[head.index(c)], F.lit("")).alias(n) for c, n in wanted.items()])
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -40,7 +40,7 @@ SLOT = "|".join(
         r"#\{[A-Za-z_][\w.]{1,40}\}",
         r"%\([A-Za-z_]\w*\)[sdfr]",
         r"%%[A-Za-z_]{2,40}%%|%[A-Z]{2,}(?:_[A-Z]+)+%",
-        r"(?<![\\A-Za-z_^$\]}])\{(?:[a-z][a-z0-9_.]{2,40}|[A-Z]{2,}(?:_[A-Z]+)*|\d{1,2})\}",
+        r"(?<![\\A-Za-z_^$\]}])\{(?:[a-z][a-z0-9_.]{1,40}|[A-Z]{2,}(?:_[A-Z]+)*|\d{1,2})\}",
         r"(?<![A-Za-z0-9_])__[A-Z][A-Z0-9_]*[A-Z0-9]__(?![A-Za-z0-9_])",
         r"@@[A-Za-z_]{2,40}@@",
         r"\[\[\s*[A-Za-z_][\w ]{1,40}\]\]",
@@ -215,7 +215,7 @@ def residue(docs: DataFrame, share: float = 0.3, least_docs: int = 20) -> DataFr
     x = x.select("doc_id", F.array_join(kept, "\n").alias("t"))
     any_kind = "|".join(KINDS.values())
     quoted = F.regexp_replace("t", r"(?<=\w )“[^”\n]{1,80}”(?= \w)", " ")
-    s = F.split(quoted, r"\n+|(?:(?<=[.!?;:])|(?<=[.!?;:][)”’\"']))\s+(?=[\p{Lu}\p{N}<\[{(“«\"$@_+-])|(?<=。)")
+    s = F.split(quoted, r"\n+|(?:(?<=[.!?;])|(?<=[^\"]:)|(?<=[.!?;:][)”’\"']))\s+(?=[\p{Lu}\p{N}<\[{(“«\"$@_+-])|(?<=。)")
     hard = F.filter(s, lambda p: p.rlike(any_kind) & ~p.rlike(DISCUSSED))
     flags = [F.exists(F.col("hard"), _holds(r)).alias(k) for k, r in KINDS.items()]
     return x.select("doc_id", hard.alias("hard")).where("size(hard) > 0").select("doc_id", *flags).distinct()

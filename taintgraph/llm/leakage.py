@@ -198,10 +198,13 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, edits: int = 0
     source = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
     for k in range(blocks):
         mine = items.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).select(F.col("item_id").cast("long"), "text").distinct().collect()
-        shared = spark.sparkContext.broadcast(ItemIndex([r[0] for r in mine], [r[1] for r in mine], q, min_words))
+        # the index travels as plain arrays and is put together again where it is used
+        shared = spark.sparkContext.broadcast(vars(ItemIndex([r[0] for r in mine], [r[1] for r in mine], q, min_words)))
 
         def run(batches, shared=shared):
-            return _search(shared.value, min_chars, edits)(batches)
+            index = ItemIndex.__new__(ItemIndex)
+            vars(index).update(shared.value)
+            return _search(index, min_chars, edits)(batches)
 
         part = source.mapInArrow(run, "doc_id long, item_id long")
         out = part if out is None else out.union(part)

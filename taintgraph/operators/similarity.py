@@ -19,7 +19,7 @@ def shingle_bits(text: Column, q: int = 4, bits: int = 2048) -> Column:
     """A hashed fingerprint: the distinct bit numbers of all substrings of q characters; empty for shorter texts."""
     n = F.length(text) - q + 1
     grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(q)))
-    return F.when(n >= 1, F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 4), 16, 10).cast("int") % bits)))).otherwise(F.array().cast("array<int>"))
+    return F.when(n >= 1, F.array_sort(F.array_distinct(F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % bits).cast("int"))))).otherwise(F.array().cast("array<int>"))
 
 
 def tanimoto(a: Column, b: Column) -> Column:
@@ -28,19 +28,39 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.try_divide(shared, F.size(a) + F.size(b) - shared)
 
 
+def _parity(bits: str) -> dict[str, Column]:
+    """Two words of 64 bits: whether an odd number of elements falls on each of 128 places."""
+
+    def word(low: int) -> Column:
+        bit = lambda b: F.when((b % 128 >= low) & (b % 128 < low + 64), F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(bit(b)))
+
+    return {"s1": word(0), "s2": word(64)}
+
+
 def fingerprint_pairs(rows: DataFrame, key: str, bits: str, threshold: float) -> DataFrame:
     """(a, b, shared, joint), a < b, over distinct fingerprints: a and b are the smallest keys of theirs.
 
     Rows of one fingerprint are one class; see :func:`fingerprint_classes` for the membership."""
     t = Fraction(str(threshold))
-    classes = cut(rows.where(F.size(bits) > 0).groupBy(F.col(bits).alias("fp")).agg(F.min(key).alias("k")).withColumn("n", F.size("fp")), "classes")
-    posts = classes.select("k", "n", F.explode("fp").alias("bit"))
+    classes = cut(rows.where(F.size(bits) > 0).groupBy(F.col(bits).alias("fp")).agg(F.min(key).alias("k")).withColumns({"n": F.size("fp"), **_parity("fp")}), "classes")
+    posts = classes.select("k", "n", "s1", "s2", F.explode("fp").alias("bit"))
     df = posts.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
     ranked = posts.join(df, "bit").withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("df", "bit")))
-    prefix = cut(ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator) + 1).select("k", "n", "bit"), "prefix")
-    l, r = prefix.alias("l"), prefix.alias("r")
-    window = (F.least("l.n", "r.n") * t.denominator >= F.greatest("l.n", "r.n") * t.numerator) & (F.col("l.k") < F.col("r.k"))
-    cand = l.join(r, (F.col("l.bit") == F.col("r.bit")) & window).select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct()
+    ceil = lambda n, p, q: F.ceil(n * p / q)
+    prefix = cut(ranked.where(F.col("rn") <= F.col("n") - ceil(F.col("n"), t.numerator, t.denominator) + 1).select("k", "n", "s1", "s2", "rn", "bit"), "prefix")
+    # the larger set of a pair probes with its whole prefix; the smaller one needs only the shorter index prefix
+    l, r = prefix.alias("l"), prefix.where(F.col("rn") <= F.col("n") - ceil(F.col("n"), 2 * t.numerator, t.numerator + t.denominator) + 1).alias("r")
+    larger = (F.col("l.n") > F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.k") > F.col("r.k")))
+    window = F.col("r.n") * t.denominator >= F.col("l.n") * t.numerator
+    # at the first shared bit, what is left on either side bounds the overlap
+    reach = 1 + F.least(F.col("l.n") - F.col("l.rn"), F.col("r.n") - F.col("r.rn"))
+    enough = reach * (t.numerator + t.denominator) >= (F.col("l.n") + F.col("r.n")) * t.numerator
+    # parity sketches differ in at most as many bits as the sets differ in elements
+    apart = F.bit_count(F.col("l.s1").bitwiseXOR(F.col("r.s1"))) + F.bit_count(F.col("l.s2").bitwiseXOR(F.col("r.s2")))
+    total = F.col("l.n") + F.col("r.n")
+    near = apart <= total - 2 * ceil(total, t.numerator, t.numerator + t.denominator)
+    cand = l.join(r, (F.col("l.bit") == F.col("r.bit")) & larger & window & enough & near).select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct()
     fa, fb = classes.select(F.col("k").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("k").alias("b"), F.col("fp").alias("fb"))
     x = cand.join(fa, "a").join(fb, "b").withColumn("shared", F.size(F.array_intersect("fa", "fb")))
     x = x.withColumn("joint", F.size("fa") + F.size("fb") - F.col("shared"))

@@ -780,12 +780,12 @@ def lr_score(spark, sf):
 
 # -- similarity ------------------------------------------------------------------------------------------------------
 def _fingerprints(spark, sf):
-    n = kg.nodes(spark, sf).where("node_type = 'Scaffold' and label is not null")
-    return n.select(F.col("node_id").alias("key"), similarity.shingle_bits(F.col("label"), 4, 2048).alias("bits"))
+    n = kg.nodes(spark, sf).where("node_type = 'Ligand' and label is not null")
+    return n.select(F.col("node_id").alias("key"), similarity.shingle_bits(F.col("label"), 6, 1 << 20).alias("bits"))
 
 
-_FP = """, fp as (select node_id k, list_sort(list_distinct(list_transform(range(1, length(label) - 2), lambda i: cast('0x' || substr(md5(substr(label, i, 4)), 1, 4) as integer) % 2048))) b from nodes
- where node_type = 'Scaffold' and length(label) >= 4), cl as (select b, min(k) k from fp group by 1), u as (select k, len(b) n, unnest(b) g from cl),
+_FP = """, fp as (select node_id k, list_sort(list_distinct(list_transform(range(1, length(label) - 4), lambda i: (cast('0x' || substr(md5(substr(label, i, 6)), 1, 8) as bigint) % 1048576)::integer))) b from nodes
+ where node_type = 'Ligand' and length(label) >= 6), cl as (select b, min(k) k from fp group by 1), u as (select k, len(b) n, unnest(b) g from cl),
 pr as (select x.k a, y.k b, count(*) shared, any_value(x.n + y.n) - count(*) joint from u x join u y on x.g = y.g and x.k < y.k group by 1, 2)"""
 
 

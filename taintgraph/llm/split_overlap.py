@@ -61,7 +61,7 @@ class FullTextIndex:
         for i in range(k):
             key = (key << 8) | np.concatenate((text[i:], np.zeros(min(i, n), np.uint8)))[:n]
         while True:
-            sa = np.argsort(key, kind="stable")
+            sa = np.argsort(key)
             new = np.concatenate(([0], (key[sa][1:] != key[sa][:-1]).cumsum()))
             rank = np.empty(n, np.int64)
             rank[sa] = new

@@ -92,7 +92,7 @@ def _signatures(texts: list[str], q: int) -> tuple[np.ndarray, ...]:
 
 def _step(tok: np.ndarray, start: np.ndarray, size: np.ndarray, path: np.ndarray, branch: int) -> np.ndarray:
     """The next node of each row: its path so far joined with the token of smallest rank there. ``path``: 64 bits."""
-    seed = _mix((path ^ (path >> np.uint64(32))).astype(np.uint32) + np.uint32(0x9E3779B9) * np.uint32(branch + 1))
+    seed = _mix((path ^ (path >> np.uint64(32))).astype(np.uint32) + np.uint32(0x9E3779B9 * (branch + 1) & 0xFFFFFFFF))
     rank = _mix(tok ^ np.repeat(seed, size))
     low = np.minimum.reduceat(rank, start)
     nxt = (path ^ (low.astype(np.uint64) + np.uint64(branch))) * np.uint64(0x9E3779B97F4A7C15)

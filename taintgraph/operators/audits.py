@@ -142,3 +142,29 @@ def nearest_label_scores(examples: DataFrame, edges: DataFrame) -> DataFrame:
     own = examples.select("node_id", "label", "fold").join(one, "node_id", "left").join(two, "node_id", "left")
     score = F.when(F.col("fold") == "train", F.col("label").cast("double")).otherwise(F.coalesce("score1", "score2", F.lit(0.5)))
     return own.select("node_id", "label", "fold", score.alias("score"))
+
+
+def split_head_to_head(folds: DataFrame, edges: DataFrame, axes: dict[str, list[str]], hops: int = 2) -> DataFrame:
+    """(protocol, axis, pct_leak) of every protocol of a fold table (protocol, node_id, fold) at ``hops``."""
+    from taintgraph.operators.graph import residual_leak
+
+    out = None
+    for name in [r[0] for r in folds.select("protocol").distinct().orderBy("protocol").collect()]:
+        f = folds.where(F.col("protocol") == name)
+        leak = residual_leak(edges, f.where("fold = 'train'"), f.where("fold = 'test'"), axes, hops).where(F.col("k") == hops)
+        part = leak.select(F.lit(name).alias("protocol"), "axis", "n_test", "n_leak", "pct_leak")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def auroc_all_splits(pred: DataFrame, base: str = "random") -> DataFrame:
+    """(protocol, source, auroc, n_pos, n_neg, delta) of test predictions; delta is against the base protocol."""
+    a = auroc(pred.where("fold = 'test'"), ["protocol", "source"])
+    b = a.where(F.col("protocol") == base).select("source", F.col("auroc").alias("base"))
+    return a.join(b, "source", "left").select("protocol", "source", "auroc", "n_pos", "n_neg", (F.col("auroc") - F.col("base")).alias("delta"))
+
+
+def winners(report: DataFrame) -> DataFrame:
+    """(source, protocol, auroc): the protocol with the highest AUROC per source, ties to the first name."""
+    w = Window.partitionBy("source").orderBy(F.desc("auroc"), "protocol")
+    return report.where(~F.isnan("auroc")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("source", "protocol", "auroc")

@@ -911,3 +911,155 @@ _ACC_SQL = r"nullif(regexp_replace(regexp_replace(regexp_replace(upper(regexp_re
 def key_collection(spark, sf):
     s = table(spark, sf, "side_table")
     return s.select(accession(s["uniprot"]).alias("accession")).where("accession is not null").groupBy("accession").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- further sources, joins and audits -------------------------------------------------------------------------------
+_TABLES = ["canonical_nodes", "canonical_edges", "side_table", "split_result", "trainset_manifest", "activities", "documents", "eval_items"]
+
+
+@query(" union all ".join(f"select '{t}' as table_name, (select count(*) from information_schema.columns where table_name = '{t}') as n_columns, (select count(*) from {t}) as n_rows" for t in _TABLES))
+def catalog_counts(spark, sf):
+    out = None
+    for t in _TABLES:
+        df = table(spark, sf, t)
+        part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), F.lit(len(df.columns)).alias("n_columns"), "n_rows")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("select distinct activity_id, molregno, standard_type, standard_value from activities where molregno in (select molregno from activities group by 1 having count(distinct assay_id) >= 2)")
+def activities_for_keys(spark, sf):
+    a = table(spark, sf, "activities")
+    ids = a.groupBy("molregno").agg(F.countDistinct("assay_id").alias("n")).where("n >= 2")
+    return readers.for_keys(a, ids, "molregno").select("activity_id", "molregno", "standard_type", "standard_value").distinct()
+
+
+@query(
+    kg.sql(
+        f""", s as (select {_ACC_SQL} acc, min(target_sequence) seq from side_table where {_ACC_SQL} is not null and target_sequence is not null group by 1)
+select p.node_id, c.dst as cluster, length(seq) as n_residues from nodes p join edges c on c.src = p.node_id and c.edge_type = 'protein_in_cluster' join s on p.node_id = 'protein:' || lower(acc) where p.node_type = 'Protein'"""
+    )
+)
+def target_sequences(spark, sf):
+    s = table(spark, sf, "side_table")
+    seq = s.select(F.concat(F.lit("protein:"), F.lower(accession(s["uniprot"]))).alias("node_id"), "target_sequence").where("node_id is not null and target_sequence is not null").groupBy("node_id").agg(F.min("target_sequence").alias("seq"))
+    c = kg.edges(spark, sf).where("edge_type = 'protein_in_cluster'").select(F.col("src").alias("node_id"), F.col("dst").alias("cluster"))
+    return kg.nodes(spark, sf).where("node_type = 'Protein'").select("node_id").join(c, "node_id").join(seq, "node_id").select("node_id", "cluster", F.length("seq").alias("n_residues"))
+
+
+@query("select assay_id, count(*) as n, max(standard_value) as top from (select distinct * from activities) group by 1 order by n desc, assay_id limit 20")
+def top_assays(spark, sf):
+    a = table(spark, sf, "activities").distinct()
+    return a.groupBy("assay_id").agg(F.count(F.lit(1)).alias("n"), F.max("standard_value").alias("top")).orderBy(F.desc("n"), "assay_id").limit(20)
+
+
+@query(
+    rf"""with s as (select distinct trim(smiles_canonical, {kg.BLANKS}) t from side_table where trim(smiles_canonical, {kg.BLANKS}) <> ''),
+p as (select t, string_split(t, '.') x from s), l as (select t, (list_sort(list_filter(x, lambda p: length(p) = list_max(list_transform(x, lambda q: length(q))))))[1] m from p)
+select t as smiles, md5(t) as own_key, md5(regexp_replace(regexp_replace(m, '[@/\\]', '', 'g'), '\[\d*([A-Z][a-z]?|[a-z])(?:H\d*)?(?:[+-]\d*)?\]', '\1', 'g')) as parent_key from l"""
+)
+def parent_keys(spark, sf):
+    s = _side(spark, sf).where("smi <> ''").select("smi").distinct()
+    p = chem.TextFeatures()
+    return s.select(F.col("smi").alias("smiles"), p.key(F.col("smi")).alias("own_key"), p.parent_key(F.col("smi")).alias("parent_key"))
+
+
+@query(
+    kg.sql(
+        """, l as (select dst lig, list_sort(list(distinct source)) s from edges join examples on node_id = src where edge_type = 'example_has_ligand' and source is not null group by 1)
+select lig, len(s) as n_sources, s[1] as first_source, s[1:2] as head, list_sort(list_filter(s, lambda x: x <> 'chembl')) as others from l"""
+    )
+)
+def source_lists(spark, sf):
+    e = kg.edges(spark, sf).where("edge_type = 'example_has_ligand'").select(F.col("src").alias("node_id"), F.col("dst").alias("lig"))
+    l = e.join(kg.examples(spark, sf).where("source is not null"), "node_id").groupBy("lig").agg(F.sort_array(F.collect_set("source")).alias("s"))
+    return l.select("lig", F.size("s").alias("n_sources"), F.element_at("s", 1).alias("first_source"), F.slice("s", 1, 2).alias("head"), F.array_except("s", F.array(F.lit("chembl"))).alias("others"))
+
+
+@query(
+    kg.sql(
+        """, fl as (select src node_id, min(dst) lig from edges where edge_type = 'example_has_ligand' group by 1)
+select f.node_id, f.fold, n.label as text from folds f join fl using (node_id) join nodes n on n.node_id = fl.lig where n.label is not null and trim(n.label) <> ''"""
+    )
+)
+def split_hydration(spark, sf):
+    first = kg.edges(spark, sf).where("edge_type = 'example_has_ligand'").groupBy(F.col("src").alias("node_id")).agg(F.min("dst").alias("lig"))
+    text = kg.nodes(spark, sf).select(F.col("node_id").alias("lig"), F.col("label").alias("text")).where("text is not null and trim(text) <> ''")
+    return kg.folds(spark, sf).join(first, "node_id").join(text, "lig").select("node_id", "fold", "text")
+
+
+@query(
+    kg.sql(
+        kg.sql_bfs("r", "select node_id from examples where source = 'chembl'", _LIGAND, 2)
+        + f""", t0 as (select *, case when example_id in (select node_id from r) then 'leak' else 'clean' end part from pred where fold = 'test'), t as (select * from t0 union all select * replace ('all' as part) from t0)
+select source, part, n_pos + n_neg as n, auroc from {kg.sql_auroc('t', 'source, part')} where n_pos + n_neg >= 5"""
+    )
+)
+def retro_anchor_corpus(spark, sf):
+    anchor = kg.examples(spark, sf).where("source = 'chembl'").select("node_id")
+    return audits.retrospective(kg.predictions(spark, sf), _axis(spark, sf), 2, anchor)
+
+
+_BOTH = ["protein_cluster", "random"]
+
+
+def _all_folds(spark, sf):
+    out = None
+    for p in _BOTH:
+        part = kg.folds(spark, sf, p).withColumn("protocol", F.lit(p))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_FOLDS2 = f", f2 as (select protocol, {kg.sql_id('node_id')} node_id, min({kg.sql_fold()}) fold from split_result where {kg.sql_fold()} is not null and {kg.sql_id('node_id')} is not null group by 1, 2)"
+
+
+def _head_sql() -> str:
+    views, rows = _FOLDS2, []
+    for i, p in enumerate(_BOTH):
+        for j, (a, ts) in enumerate(vocab.AXES.items()):
+            views += kg.sql_bfs(f"z{i}{j}_", f"select node_id from f2 where protocol = '{p}' and fold = 'train'", kg.sql_types(ts), 2)
+            rows.append(f"select '{p}' as protocol, '{a}' as axis, (select count(*) from f2 where protocol = '{p}' and fold = 'test') as n_test, (select count(*) from f2 where protocol = '{p}' and fold = 'test' and node_id in (select node_id from z{i}{j}_ where hop > 0)) as n_leak")
+    return kg.sql(views + " select *, n_leak * 100 / n_test::double as pct_leak from (" + " union all ".join(rows) + ")")
+
+
+@query(_head_sql())
+def split_head_to_head(spark, sf):
+    return audits.split_head_to_head(_all_folds(spark, sf), kg.edges(spark, sf), vocab.AXES)
+
+
+def _scored_folds(spark, sf):
+    e = kg.examples(spark, sf).where("label in (0, 1) and source is not null").join(_all_folds(spark, sf), "node_id")
+    score = F.round((stats.unit_hash(F.col("node_id")) % 1000 + 400 * F.col("label")) / 1400.0, 6)
+    return e.select(F.col("node_id").alias("example_id"), "source", "label", "fold", "protocol", score.alias("score"))
+
+
+_TEST = "fold = 'test'"
+_PRED2 = _FOLDS2 + f", p2 as (select e.node_id example_id, source, label, fold, protocol, round(({kg.sql_hash('e.node_id')} % 1000 + 400 * label) / 1400.0, 6) score from examples e join f2 using (node_id) where label in (0, 1) and source is not null), ra as (select * from {kg.sql_auroc('p2', 'protocol, source', _TEST)})"
+
+
+@query(kg.sql(_PRED2 + " select a.protocol, a.source, a.auroc, a.n_pos, a.n_neg, a.auroc - b.auroc as delta from ra a left join ra b on b.source = a.source and b.protocol = 'random'"))
+def auroc_all_splits(spark, sf):
+    return audits.auroc_all_splits(_scored_folds(spark, sf))
+
+
+@query(kg.sql(_PRED2 + " select source, protocol, auroc from (select *, row_number() over (partition by source order by auroc desc, protocol) rn from ra where not isnan(auroc)) where rn = 1"))
+def split_winners(spark, sf):
+    return audits.winners(audits.auroc_all_splits(_scored_folds(spark, sf)))
+
+
+@query(kg.sql("select 'nodes.' || node_type as metric, count(*) as value from nodes group by 1 union all select 'edges.' || edge_type, count(*) from edges group by 1"))
+def stats_table(spark, sf):
+    return sinks.stats_table(kg.nodes(spark, sf), kg.edges(spark, sf))
+
+
+@query(
+    kg.sql(
+        """, acc as (select node_id, case when regexp_matches(upper(regexp_extract(node_id, '^(?:tgt:.*|protein):([^:]+)$', 1)), '^[A-Z][0-9][A-Z0-9]{3}[0-9]([A-Z0-9]{4})?$')
+ then 'protein:' || lower(regexp_extract(node_id, '^(?:tgt:.*|protein):([^:]+)$', 1)) else node_id end nid from (select src node_id from edges union select dst from edges))
+select s.nid as src, d.nid as dst, edge_type from edges e join acc s on s.node_id = e.src join acc d on d.node_id = e.dst where edge_type in ('example_has_protein', 'protein_in_cluster')"""
+    )
+)
+def protein_edge_rewrite(spark, sf):
+    e = kg.edges(spark, sf).where("edge_type in ('example_has_protein', 'protein_in_cluster')")
+    return graph.rewrite_ids(kg.nodes(spark, sf), e, build.protein_node)[1].select("src", "dst", "edge_type")

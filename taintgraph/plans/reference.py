@@ -13,6 +13,7 @@ from taintgraph.plans import kg
 from taintgraph.session import table
 from taintgraph.sources import readers, sinks
 from taintgraph.streaming import tagger
+from taintgraph.vocab import AXES
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -128,7 +129,10 @@ def featurize(spark, sf):
     return s.select(chem.featurize(F.col("smi")).alias("f")).select("f.smiles_input", "f.smiles_canonical", "f.inchikey", "f.parse_ok")
 
 
-@query()
+_GEN = r"regexp_replace(regexp_replace({0}, '\[[^\]]*\]|Cl|Br|[A-Za-z]', 'C', 'g'), '[=#/\\@+\-]', '', 'g')"
+
+
+@query(kg.sql(f"select distinct label as scaffold, {_GEN.format('label')} as generic from nodes where node_type = 'Scaffold'"))
 def generic_scaffolds(spark, sf):
     n = kg.nodes(spark, sf).where("node_type = 'Scaffold'").select("label").distinct()
     return n.select(F.col("label").alias("scaffold"), chem.generic_scaffold(F.col("label")).alias("generic"))
@@ -322,7 +326,21 @@ def build_invariants(spark, sf):
     return build.invariants(kg.nodes(spark, sf), kg.edges(spark, sf))
 
 
-@query()
+def _nid(c: str) -> str:
+    acc = f"upper(regexp_extract({c}, '^(?:tgt:.*|protein):([^:]+)$', 1))"
+    return f"case when regexp_matches({acc}, '^[A-Z][0-9][A-Z0-9]{{3}}[0-9]([A-Z0-9]{{4}})?$') then 'protein:' || lower({acc}) else {c} end"
+
+
+@query(
+    kg.sql(
+        f""", n0 as (select {_nid('node_id')} node_id, min(node_type) node_type, min(label) label from nodes group by 1), e0 as (select distinct {_nid('src')} src, {_nid('dst')} dst, edge_type from edges),
+gone as (select node_id from n0 where node_type = 'Scaffold' and coalesce(length(regexp_replace(label, '[^A-Za-z]', '', 'g')), 0) <= 6), n1 as (select * from n0 where node_id not in (select node_id from gone)),
+e1 as (select * from e0 where src in (select node_id from n1) and dst in (select node_id from n1)),
+n2 as (select * from n1 where node_type in ('DatasetSource', 'DecoyProtocol') or node_id in (select src from e1 union select dst from e1)),
+e2 as (select distinct least(src, dst) src, greatest(src, dst) dst, edge_type from e1 where edge_type = 'ligand_similar' union select * from e1 where edge_type <> 'ligand_similar')
+select 'nodes.' || node_type as metric, count(*) as value from n2 group by 1 union all select 'edges.' || edge_type, count(*) from e2 group by 1"""
+    )
+)
 def consolidate_stats(spark, sf):
     n = table(spark, sf, "canonical_nodes").withColumn("node_id", clean_id(F.col("node_id"))).where("node_id is not null").select("node_id", "node_type", "label", "props").distinct()
     return sinks.stats_table(*build.consolidate(n, kg.raw_edges(spark, sf).select("src", "dst", "edge_type").distinct()))
@@ -541,7 +559,16 @@ def split_ave(spark, sf):
     return splits.build_split("ave_wallach", _ctx(spark, sf))
 
 
-@query()
+def _budget_sql() -> str:
+    body = _EX + ", f0 as (select b.node_id, ex.label, b.fold from (" + _strat_sql("label") + ") b join ex using (node_id))"
+    for k, (axis, share) in enumerate((("ligand", 0.05), ("scaffold", 0.05), ("publication", 0.05), ("assay", 0.05), ("protein", 0.5)), 1):
+        body += kg.sql_bfs(f"b{k}_", f"select node_id from f{k - 1} where fold = 'train'", kg.sql_types(AXES[axis]), 2)
+        body += f""", n{k} as (select r.node_id, row_number() over (order by hop, r.node_id) rn, count(*) over () n from b{k}_ r join f{k - 1} f on f.node_id = r.node_id where f.fold = 'test' and hop > 0),
+f{k} as (select node_id, label, case when node_id in (select node_id from n{k} where rn <= n - floor({share} * (select count(*) from f{k - 1} where fold = 'test'))) then 'train' else fold end fold from f{k - 1})"""
+    return kg.sql(body + " select node_id, fold, false as leak_mask from f5")
+
+
+@query(_budget_sql())
 def split_axis_budget(spark, sf):
     return splits.build_split("kg_axis_budget", _ctx(spark, sf))
 
@@ -551,7 +578,13 @@ def split_datasail(spark, sf):
     return splits.build_split("datasail", _ctx(spark, sf))
 
 
-@query()
+@query(
+    _group_sql(
+        f"""select h.src node_id, coalesce(min(c.coarse), min(s.dst)) grp from edges h join (select src, min(dst) dst from (select x.src, y.dst from edges x join edges y on y.src = x.dst where x.edge_type = 'example_has_ligand' and y.edge_type = 'ligand_scaffold') group by 1) s on s.src = h.src
+ left join (select node_id, md5({_GEN.format("coalesce(label, '')")}) coarse from nodes where node_type = 'Scaffold') c on c.node_id = s.dst where h.edge_type = 'example_has_ligand' group by 1""",
+        0,
+    )
+)
 def split_scaffold_generic(spark, sf):
     n = kg.nodes(spark, sf).where("node_type = 'Scaffold'")
     return splits.build_split("scaffold_generic", _ctx(spark, sf), coarse=n.select(F.col("node_id").alias("grp"), F.md5(chem.generic_scaffold(F.coalesce("label", F.lit("")))).alias("coarse")))
@@ -622,7 +655,8 @@ def delta_auroc(spark, sf):
 
 @query()
 def delta_auroc_test(spark, sf):
-    return audits.provenance_delta(_tags(spark, sf), 50)
+    d = audits.provenance_delta(_tags(spark, sf), 50)
+    return d.withColumns({c: F.round(c, 9) for c in ("delta", "lower", "upper", "p")})
 
 
 _CROSS = f""", cb as (select src, dst from edges where {_LIGAND} union select dst, src from edges where {_LIGAND}), c0 as (select node_id, source tag, 0 hop from examples where source is not null),
@@ -719,17 +753,23 @@ def auroc_by_group(spark, sf):
     return stats.auroc(kg.predictions(spark, sf), ["source", "fold"])
 
 
-def _pw() -> str:
-    h = kg.sql_hash("'42|' || rep || '|' || example_id")
+def _pw(seed: int = 42) -> str:
+    h = kg.sql_hash(f"'{seed}|' || rep || '|' || example_id")
     return "case " + " ".join(f"when {h} < {s} then {k}" for k, s in enumerate(stats.POISSON_STEPS)) + f" else {len(stats.POISSON_STEPS)} end"
 
 
+def _boot_sql(name: str, source: str, keys: str, reps: int, seed: int = 42, where: str = "fold = 'test'") -> str:
+    """View {name}: keys, rep, a."""
+    return f""", {name}w as (select *, {_pw(seed)} w from {source}, range(1, {reps + 1}) g(rep) where {where}),
+{name}s as (select {keys}, rep, score, sum(case when label = 1 then w else 0 end) p, sum(case when label = 0 then w else 0 end) n from {name}w where w > 0 group by {keys}, rep, score),
+{name}c as (select *, coalesce(sum(n) over (partition by {keys}, rep order by score rows between unbounded preceding and 1 preceding), 0) below from {name}s),
+{name} as (select {keys}, rep, sum(p * (2 * below + n))::double / (2 * sum(p) * sum(n)) a from {name}c group by {keys}, rep having sum(p) > 0 and sum(n) > 0)"""
+
+
 @query(
     kg.sql(
-        f""", bw as (select *, {_pw()} w from pred, range(1, 41) g(rep) where fold = 'test'), ss as (select source, rep, score, sum(case when label = 1 then w else 0 end) p, sum(case when label = 0 then w else 0 end) n from bw where w > 0 group by 1, 2, 3),
-cc as (select *, coalesce(sum(n) over (partition by source, rep order by score rows between unbounded preceding and 1 preceding), 0) below from ss),
-bb as (select source, rep, sum(p * (2 * below + n))::double / (2 * sum(p) * sum(n)) a from cc group by 1, 2 having sum(p) > 0 and sum(n) > 0),
-qq as (select source, quantile_cont(a, 0.025) lower, quantile_cont(a, 0.975) upper from bb group by 1)
+        _boot_sql("bb", "pred", "source", 40)
+        + f""", qq as (select source, quantile_cont(a, 0.025) lower, quantile_cont(a, 0.975) upper from bb group by 1)
 select p.source, p.auroc as point, round(lower, 9) as lower, round(upper, 9) as upper, n_pos, n_neg from {kg.sql_auroc("pred", "source", "fold = 'test'")} p left join qq using (source)"""
     )
 )
@@ -738,11 +778,29 @@ def bootstrap_ci(spark, sf):
     return b.withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9)})
 
 
-@query()
+@query(
+    kg.sql(
+        f""", bm as (select *, 'blend' model from pred union all select * replace (round({kg.sql_hash('example_id')} % 1000 / 1000.0, 6) as score), 'noise' from pred)"""
+        + _boot_sql("bb", "bm", "model, source", 20)
+        + f""", qq as (select model, source, quantile_cont(a, 0.025) lower, quantile_cont(a, 0.975) upper from bb group by 1, 2)
+select model, p.source, p.auroc as point, round(lower, 9) as lower, round(upper, 9) as upper, n_pos, n_neg from {kg.sql_auroc("bm", "model, source", "fold = 'test'")} p left join qq using (model, source)"""
+    )
+)
 def baseline_compare(spark, sf):
     p = kg.predictions(spark, sf)
     m = p.withColumn("model", F.lit("blend")).unionByName(p.withColumn("score", F.round(stats.unit_hash(F.col("example_id")) % 1000 / 1000.0, 6)).withColumn("model", F.lit("noise")))
-    return audits.compare_models(m, 20)
+    return audits.compare_models(m, 20).withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9)})
+
+
+ORACLE["delta_auroc_test"] = kg.sql(
+    _TAGS
+    + _boot_sql("b1", "tags", "source", 50, 42, "share_pub")
+    + _boot_sql("b0", "tags", "source", 50, 43, "not share_pub")
+    + f""", dd as (select b1.source, b1.a - b0.a d from b1 join b0 using (source, rep)),
+qq as (select source, quantile_cont(d, 0.025) lower, quantile_cont(d, 0.975) upper, least(avg((d <= 0)::integer), avg((d >= 0)::integer)) tail from dd group by 1),
+aa as (select * from {kg.sql_auroc('tags', 'source, share_pub')})
+select x.source, round(x.auroc - y.auroc, 9) as delta, round(lower, 9) as lower, round(upper, 9) as upper, round(least(1.0, 2 * tail), 9) as p from aa x join aa y on y.source = x.source and x.share_pub and not y.share_pub left join qq on qq.source = x.source"""
+)
 
 
 def _cnn_inputs(spark, sf):

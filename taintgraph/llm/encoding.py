@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from taintgraph.llm.batches import parts
+
 #: splits text into words before merging (fixed value)
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -129,7 +131,7 @@ class MergeReplay:
         return np.array(offsets, np.int32), np.array(ids, np.int32)
 
 
-def encode(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, rows_at_once: int = 512) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, rows_at_once: int = 512, chars_at_once: int = 4_000_000) -> DataFrame:
     """(doc_id, ids) of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_merges(os.fspath(tokenizer)))
@@ -137,8 +139,7 @@ def encode(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = MergeReplay(*shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, rows_at_once):
-                part = b.slice(at, rows_at_once)
+            for part in parts(b, ["text"], rows_at_once, chars_at_once):
                 offsets, ids = replay.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "ids"])
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taintgraph.llm.batches import parts
+
 #: soft hyphen and zero-width characters, dropped before words are read (fixed values)
 INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
@@ -148,7 +150,7 @@ def _regions(index: ItemIndex, texts: list[str], need: np.ndarray, edits: int) -
             yield int(d[f]), int(i[f]), int(p[f]), int(p[f + s - 1]) + q
 
 
-def _search(index: ItemIndex, min_chars: int, edits: int, rows_at_once: int = 256):
+def _search(index: ItemIndex, min_chars: int, edits: int, rows_at_once: int = 256, chars_at_once: int = 1_000_000):
     shortest = np.maximum(index.shortest, min_chars) if not edits else np.full(len(index.ids), min_chars)
     need = shortest - index.q + 1 - index.q * edits
     if len(need) and need.min() < 1:
@@ -165,8 +167,7 @@ def _search(index: ItemIndex, min_chars: int, edits: int, rows_at_once: int = 25
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, rows_at_once):
-                part = b.slice(at, rows_at_once)
+            for part in parts(b, ["text"], rows_at_once, chars_at_once):
                 ids = part.column(0).to_pylist()
                 texts = [" ".join(words(t)) for t in part.column(1).to_pylist()]
                 got = set()

@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taintgraph.llm.batches import parts
 from taintgraph.session import cut
 
 _M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
-_ROWS = 8192
+_ROWS, _CHARS = 8192, 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,10 +104,9 @@ _PATHS = pa.schema([("path", pa.int64()), ("h", pa.int64()), ("n", pa.int32()),
 _PATHS_DDL = "path long, h long, n int, s1 long, s2 long"
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i in range(0, b.num_rows, _ROWS):
-            yield b.slice(i, _ROWS)
+        yield from parts(b, list(texts), _ROWS, _CHARS)
 
 
 def _emit(path, h, size, s1, s2) -> pa.RecordBatch:
@@ -116,7 +116,7 @@ def _emit(path, h, size, s1, s2) -> pa.RecordBatch:
 
 def _first_paths(q: int, trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in _slices(batches, "s"):
             rows, tok, start, size, s1, s2 = _signatures(b.column("s").to_pylist(), q)
             if not len(rows):
                 continue
@@ -132,7 +132,7 @@ def _first_paths(q: int, trees: int, depth: int):
 
 def _next_paths(q: int, branches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in _slices(batches, "s"):
             rows, tok, start, size, s1, s2 = _signatures(b.column("s").to_pylist(), q)
             if not len(rows):
                 continue
@@ -213,7 +213,7 @@ def _nodes(num: int, den: int, limit: int | None):
 
 def _verify(q: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in _slices(batches, "ta", "tb"):
             ta, tb = b.column("ta").to_pylist(), b.column("tb").to_pylist()
             ka, exact = shingle_keys(ta, q)
             kb, exact_b = shingle_keys(tb, q)
@@ -243,12 +243,12 @@ def similar_pairs(
     trees = math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
     spark = records.sparkSession
     lig = cut(records.select(F.col(text).alias("s")).where(f"length(s) >= {q}").distinct().withColumn("h", F.xxhash64("s")), "records")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     paths = lig.mapInArrow(_first_paths(q, trees, depth), _PATHS_DDL)
     found = None
     for k in range(max_splits + 1):
         limit = node_limit if k < max_splits else None
-        out = cut(paths.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(_nodes(num, den, limit), "a long, b long, path long"), "nodes")
+        out = cut(paths.repartition(n_parts, "path").sortWithinPartitions("path").mapInArrow(_nodes(num, den, limit), "a long, b long, path long"), "nodes")
         pairs = out.where("b is not null").select("a", "b")
         found = pairs if found is None else found.union(pairs)
         big = out.where("b is null").select("path", F.col("a").alias("h"))

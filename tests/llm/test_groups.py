@@ -69,7 +69,6 @@ def test_contraction_against_union_find(spark):
 
 
 def test_split_keeps_groups_and_shares(spark):
-    rnd = random.Random(7)
     rows = [(f"r{i}", f"e{i // 4}") for i in range(2000)]
     m = members(spark, rows)
     records = spark.createDataFrame([(f"r{i}",) for i in range(2000)] + [(f"lone{i}",) for i in range(400)] + [("r1",), (None,)], "record string")
@@ -79,7 +78,6 @@ def test_split_keeps_groups_and_shares(spark):
     assert all(len({fold[f"r{i}"] for i in range(4 * k, 4 * k + 4)}) == 1 for k in range(500))
     share = {f: sum(v == f for v in fold.values()) / 2400 for f in ("train", "val", "test")}
     assert abs(share["train"] - 0.7) < 0.02 and abs(share["val"] - 0.15) < 0.02 and abs(share["test"] - 0.15) < 0.02
-    assert rnd is not None
 
 
 def test_split_with_a_giant_and_empty(spark):

@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 
 from taintgraph.llm import split_overlap as S
@@ -99,4 +98,3 @@ def test_against_brute_force_and_counts(spark):
     c = S.overlap_counts(r, S.overlaps(r)).collect()
     hit = {x for p in want for x in p if next(q for q in rows if q[0] == x)[1] == "eval"}
     assert sum(x["n_overlapping"] for x in c) == len(hit) and sum(x["n_records"] for x in c) == sum(q[1] == "eval" for q in rows)
-    assert isinstance(np.int64(1), np.integer)

@@ -68,8 +68,13 @@ def unit_code(text: Column) -> Column:
     u = F.regexp_replace(u, r"[\s.·*()\[\]^]+", "")
     u = F.regexp_replace(u, r"(mol|g)/?([mud]?)[lL](?:-1)?$", "$1/$2L")
     u = F.regexp_replace(u, r"mol/?dm-?3$", "mol/L")
-    power = F.regexp_extract(u, r"^(?:1x)?10'?([+-]?\d{1,2})(?:M|mol/L)$", 1).try_cast("int")
-    return F.coalesce(_lookup(_unit_codes())[u], _lookup(_word_codes())[F.lower(u)], power)
+
+    def look_up(x: Column) -> Column:
+        power = F.regexp_extract(x, r"^(?:1x)?10'?([+-]?\d{1,2})(?:M|mol/L)$", 1).try_cast("int")
+        return F.coalesce(_lookup(_unit_codes())[x], _lookup(_word_codes())[F.lower(x)], power)
+
+    # within the lambda the normal form is a variable: it is made once, not once per use
+    return F.transform(F.array(u), look_up)[0]
 
 
 def _number(text: Column) -> Column:

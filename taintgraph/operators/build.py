@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from taintgraph.functions.chem import letter_count
 from taintgraph.functions.text import accession, clean_id, strip
 from taintgraph.operators import graph
+from taintgraph.session import cut
 from taintgraph.vocab import EDGE_TYPE, NODE_TYPE, SIDE_SOURCES
 
 
@@ -126,9 +127,11 @@ def consolidate(nodes: DataFrame, edges: DataFrame, clusters: DataFrame | None =
     if clusters is not None:
         cn, ce = cluster_nodes_edges(clusters)
         n, e = n.unionByName(cn, allowMissingColumns=True), e.unionByName(ce, allowMissingColumns=True)
+    n = cut(n, "nodes")
     n, e = drop_nodes(n, e, trivial_scaffolds(n))
-    n = graph.flag_hubs(n, e)
-    e = graph.prune_dangling(n, e)
+    e = cut(e, "edges")  # degrees, prune and orphans each read them
+    n = cut(graph.flag_hubs(n, e), "nodes")
+    e = cut(graph.prune_dangling(n, e), "edges")
     n = graph.drop_orphans(n, e)
     return n, graph.canonical_pairs(e, ["ligand_similar"]).distinct()
 

@@ -177,7 +177,7 @@ def residual_leak(edges: DataFrame, train: DataFrame, test: DataFrame, axes: dic
     tagged = edges.join(F.broadcast(m), "edge_type").select("axis", "src", "dst")
     both = cut(tagged.union(tagged.select("axis", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
     names = spark.createDataFrame([(a,) for a in axes], "axis string")
-    seeds = train.select("node_id").distinct()
+    seeds = cut(train.select("node_id").distinct(), "seeds")  # every wave leaves them out
     # every axis starts from the same seeds; its first wave is a semi join with them
     seen = [cut(both.join(seeds.withColumnRenamed("node_id", "src"), "src", "left_semi").select("axis", F.col("dst").alias("node_id")).distinct().join(seeds, "node_id", "left_anti").select("axis", "node_id", F.lit(1).alias("hop")), "wave")]
     for hop in range(2, hops + 1):

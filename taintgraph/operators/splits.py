@@ -218,7 +218,7 @@ def audit_split(split: DataFrame, examples: DataFrame, edges: DataFrame, hops: i
     """One row: sizes, shares of actives, leak per axis, targets, and whether the test fold is large enough to use."""
     from taintgraph.operators.graph import residual_leak
 
-    s = split.join(examples.select("node_id", "label"), "node_id")
+    s = cut(split.join(examples.select("node_id", "label"), "node_id").select("node_id", "label", "fold"), "split")
     is_ = lambda f, cond: F.sum(((F.col("fold") == f) & cond).cast("long"))
     any_, active, decoy = F.lit(True), F.col("label") == 1, F.col("label") == 0
     head = s.agg(

@@ -205,13 +205,24 @@ def _entries(edits: int):
 _MATCH = pa.schema([("kind", pa.int8()), ("eval_text", pa.string()), ("train_text", pa.string())])
 
 
-def _search(edits: int):
-    """One shard: rows with ``query`` false build the index, the others stream through it."""
+def _search(edits: int, block_chars: int):
+    """One shard: rows with ``query`` false build the index, in blocks of ``block_chars``; the others stream through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[str]] = {}
-        index: FullTextIndex | None = None
-        names: list[bytes] = []
+        blocks: list[tuple[FullTextIndex, list[bytes], dict[bytes, list[str]]]] = []
+        size = 0
+
+        def verified(pairs: set[tuple[int, str, str]]) -> set[tuple[int, str, str]]:
+            mine = list(pairs)
+            return {p for p, ok in zip(mine, within_edits([p[1] for p in mine], [p[2] for p in mine], edits)) if ok}
+
+        def close_block() -> None:
+            nonlocal held, size
+            if held:
+                names = list(held)
+                blocks.append((FullTextIndex(names), names, held))
+            held, size = {}, 0
 
         def name(kind, other, piece, start, size, text) -> bytes:
             return f"{kind}.{other}.{piece}.{text[start : start + size]}".encode("utf-8", "surrogatepass").replace(b"\x00", b"\xfe").replace(b"\x01", b"\xff")
@@ -221,40 +232,45 @@ def _search(edits: int):
             cols = [b.column(c).to_pylist() for c in ("kind", "other", "piece", "start", "size", "text")]
             rows = list(zip(*cols))
             for k in np.flatnonzero(~is_query):
-                held.setdefault(name(*rows[k]), []).append(rows[k][5])
+                key = name(*rows[k])
+                if key not in held:
+                    size += len(key) + 1
+                held.setdefault(key, []).append(rows[k][5])
+                if size > block_chars:
+                    close_block()
             ask = np.flatnonzero(is_query)
-            if not len(ask) or not held:
+            if not len(ask):
                 continue
-            if index is None:
-                names = list(held)
-                index = FullTextIndex(names)
+            close_block()  # entries come before all questions
             asked: dict[bytes, list[int]] = {}
             for k in ask:
                 asked.setdefault(name(*rows[k]), []).append(k)
             texts = list(asked)
-            hit = index.find(texts)
-            exact, near = [], set()
-            for t, e in zip(texts, hit):
-                if e < 0:
-                    continue
-                for k in asked[t]:
-                    kind, mine = rows[k][0], rows[k][5]
-                    if kind in (KEY, WHOLE):
-                        exact.append((kind, mine, mine))
-                    else:
-                        near.update((kind, y, mine) for y in held[names[e]])
-            near = sorted(near)
-            for at in range(0, len(near), 20_000):
-                part = near[at : at + 20_000]
-                ok = within_edits([p[1] for p in part], [p[2] for p in part], edits)
-                exact += [p for p, o in zip(part, ok) if o]
+            exact: set[tuple[int, str, str]] = set()
+            near: set[tuple[int, str, str]] = set()
+            for index, names, entries in blocks:
+                for t, e in zip(texts, index.find(texts)):
+                    if e < 0:
+                        continue
+                    for k in asked[t]:
+                        kind, mine = rows[k][0], rows[k][5]
+                        if kind in (KEY, WHOLE):
+                            exact.add((kind, mine, mine))
+                            continue
+                        others = entries[names[e]]
+                        for at in range(0, len(others), 20_000):  # a piece that many structures share comes in parts
+                            near.update((kind, y, mine) for y in others[at : at + 20_000])
+                            if len(near) >= 20_000:
+                                exact |= verified(near)
+                                near = set()
+            exact |= verified(near)
             if exact:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*exact), _MATCH.types)], schema=_MATCH)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(exact)), _MATCH.types)], schema=_MATCH)
 
     return run
 
 
-def overlaps(records: DataFrame, edits: int = 2) -> DataFrame:
+def overlaps(records: DataFrame, edits: int = 2, block_chars: int = 4_000_000) -> DataFrame:
     """(kind, eval_text, train_text): keys and structures of the evaluation side that the training side holds too.
 
     ``records``: side (``train`` or ``eval``), ik (key block or null), red (reduced structure or null). Near matches
@@ -279,7 +295,7 @@ def overlaps(records: DataFrame, edits: int = 2) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     routed = todo.mapInArrow(_entries(edits), _ROUTED)
     shards = routed.repartition(n, "route").sortWithinPartitions("query")
-    return shards.mapInArrow(_search(edits), "kind byte, eval_text string, train_text string")
+    return shards.mapInArrow(_search(edits, block_chars), "kind byte, eval_text string, train_text string")
 
 
 def record_pairs(records: DataFrame, found: DataFrame) -> DataFrame:

@@ -54,9 +54,9 @@ def test_pieces_and_probes_miss_nothing(edits):
         assert any(o == len(y) and x[s : s + n] == cut[i] for o, i, s, n in S.probes(len(x), edits))
 
 
-def overlapping(spark, rows):
+def overlapping(spark, rows, **kw):
     r = spark.createDataFrame(rows, "record string, side string, ik string, red string, fold string, source string, e string")
-    return {(x["node_id_a"], x["node_id_b"]) for x in S.record_pairs(r, S.overlaps(r)).collect()}
+    return {(x["node_id_a"], x["node_id_b"]) for x in S.record_pairs(r, S.overlaps(r, **kw)).collect()}
 
 
 def row(i, side, ik, red):
@@ -94,6 +94,7 @@ def test_against_brute_force_and_counts(spark):
                 if (a[2] and a[2] == b[2]) or (a[3] and b[3] and (a[3] == b[3] or (not (a[2] and b[2]) and lev(a[3], b[3]) <= 2))):
                     want.add(tuple(sorted((a[0], b[0]))))
     assert overlapping(spark, rows) == want
+    assert overlapping(spark, rows, block_chars=200) == want
     r = spark.createDataFrame(rows, "record string, side string, ik string, red string, fold string, source string, e string")
     c = S.overlap_counts(r, S.overlaps(r)).collect()
     hit = {x for p in want for x in p if next(q for q in rows if q[0] == x)[1] == "eval"}

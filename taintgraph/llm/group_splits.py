@@ -27,6 +27,11 @@ def _heads(v: Column, round_no: int) -> Column:
     return F.xxhash64(v, F.lit(round_no)).bitwiseAND(F.lit(1)) == 1
 
 
+def memberships(members: DataFrame) -> DataFrame:
+    """(record, entity) without nulls and repetitions, and without any other column."""
+    return members.select("record", "entity").where("record is not null and entity is not null").distinct()
+
+
 def entity_edges(members: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, linking each record's smallest entity to its others. ``members``: record, entity."""
     anchor = members.groupBy("record").agg(F.min("entity").alias("a"), F.max("entity").alias("top"))
@@ -68,6 +73,7 @@ def random_mate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 def components(members: DataFrame) -> DataFrame:
     """(entity, root) for every entity of ``members`` (record, entity)."""
+    members = memberships(members)
     roots = random_mate(entity_edges(members))
     every = members.select("entity").distinct()
     return every.join(roots.withColumnRenamed("v", "entity"), "entity", "left").select("entity", F.coalesce("root", "entity").alias("root"))
@@ -77,7 +83,8 @@ def torn_entities(members: DataFrame, folds: DataFrame, comps: DataFrame | None
     """Entities whose records lie in more than one fold. ``folds``: record, fold.
 
     Folds are first gathered per component; only the entities of components that span several folds are looked at."""
-    seen = members.join(folds.where("fold is not null").distinct(), "record").groupBy("entity").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"))
+    members = memberships(members)
+    seen = members.join(folds.select("record", "fold").where("fold is not null").distinct(), "record").groupBy("entity").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"))
     x = seen.join(comps if comps is not None else components(members), "entity")
     spans = x.groupBy("root").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("root")
     return x.join(spans, "root", "left_semi").where("lo < hi").select("entity")
@@ -121,6 +128,7 @@ def assign_folds(weights: DataFrame, shares: dict[str, float], big: float = 0.00
 
 def grouped_split(members: DataFrame, records: DataFrame, shares: dict[str, float]) -> DataFrame:
     """(record, root, fold) for every record; all records of a component get one fold."""
+    members = memberships(members)
     comps = components(members)
     first = members.groupBy("record").agg(F.min("entity").alias("entity")).join(comps, "entity").select("record", "root")
     placed = cut(

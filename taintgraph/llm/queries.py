@@ -46,7 +46,7 @@ def _p7_members(spark: SparkSession, sf: str) -> DataFrame:
     side, edges = table(spark, sf, "side_table"), table(spark, sf, "canonical_edges")
     prot = side.select(example_node(side["example_id"]).alias("record"), F.concat(F.lit("protein:"), accession(side["uniprot"])).alias("entity"))
     pub = edges.where("edge_type = 'example_from_publication'").select(clean_id(edges["src"]).alias("record"), clean_id(edges["dst"]).alias("entity"))
-    return prot.union(pub).where("record is not null and entity is not null").distinct()
+    return prot.union(pub)
 
 
 def _folds(spark: SparkSession, sf: str, protocol: str) -> DataFrame:

@@ -94,4 +94,8 @@ def test_torn_entities(spark):
     m = members(spark, [("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", "z"), ("d", "z"), ("e", "w"), ("f", "w")])
     f = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "test"), ("d", "val"), ("d", "val"), ("e", None), ("f", "train")], "record string, fold string")
     assert {r["entity"] for r in group_splits.torn_entities(m, f).collect()} == {"x"}
+    wide = spark.createDataFrame([("a", "x", 1, "q", "q", None), ("b", "x", 1, "q", "q", "z"), ("b", None, 1, "q", "q", None), (None, "x", 1, "q", "q", None)], "record string, entity string, a int, fold string, root string, top string")
+    assert {r["entity"] for r in group_splits.torn_entities(wide, f.selectExpr("record", "fold", "1 as entity")).collect()} == {"x"}
+    split = group_splits.grouped_split(wide, wide, {"train": 0.5, "test": 0.5}).collect()
+    assert {r["record"] for r in split} == {"a", "b"} and len({r["fold"] for r in split}) == 1
     assert group_splits.torn_entities(m, f.limit(0)).count() == 0

@@ -1,13 +1,15 @@
 """Template residue, filler, error pages and demands for scripts.
 
-Lines are normalised and counted by host; lines that recur in a large part of a host's documents are its boilerplate
-and are subtracted. What remains is read sentence by sentence: a sentence is evidence when it holds an unfilled slot,
-filler, a note to fill in later, an error message or a demand for scripts, unless the sentence only talks about such a
-thing (it says so itself, or stands in quotation marks within other words).
+Noscript elements are normalised and counted by host over distinct texts; those that recur in a large part of them are
+its boilerplate and are subtracted, unless nothing else is in the document. No other evidence is subtracted, however
+often it recurs: copies of an error page, or of a template with an open slot, are evidence each; and lines without
+evidence need no subtraction. What remains is read sentence by sentence: a sentence is evidence when it holds an unfilled
+slot, filler, a note to fill in later, an error message or a demand for scripts, unless the sentence only talks about
+such a thing (it says so itself, or stands in quotation marks within other words).
 
 Most documents hold nothing of the kind. They leave first, by a linear-time match of the same patterns without their
-side conditions, over Arrow batches; what is left is judged by column expressions. Line counts are partial sums before
-their shuffle, and the few boilerplate lines per host are joined to the candidates only.
+side conditions, over Arrow batches; what is left is judged by column expressions. The few boilerplate elements per host are
+joined to the candidates only.
 
 Defined cases: null, empty and blank texts are never found; a null host is a host of its own; repeated documents come
 out once per id; texts of any length are read whole; empty tables give empty results; extra columns are never read.
@@ -131,10 +133,18 @@ DISCUSSED = "|".join(
 KINDS = {"slot": SLOT, "filler": FILLER, "error": ERROR, "scripts": SCRIPTS}
 
 
+#: an element that pages carry for readers without scripts; the only evidence that is subtracted as boilerplate
+NOSCRIPT = r"(?is)<noscript[^>]*>.*?</noscript>"
+
+
 def _norm_line(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), r"\d+", "0")
 
 
+def _elements(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(NOSCRIPT), F.lit(0)))
+
+
 def without_conditions(pattern: str) -> str:
     """The pattern without look-arounds, line anchors and word ends (engines differ on those next to letters beyond
     ASCII): it matches wherever the pattern does, and more."""
@@ -194,11 +204,13 @@ def _holds(pattern: str):
 
 
 def host_boilerplate(docs: DataFrame, share: float = 0.3, least_docs: int = 20) -> DataFrame:
-    """(host, line): normalised lines in at least ``share`` of a host's documents, for hosts of ``least_docs`` or more.
+    """(host, line): normalised noscript elements in at least ``share`` of a host's distinct texts, for hosts of
+    ``least_docs`` of them or more.
 
-    Only lines of hosts that have as many lines twice are kept, so the hot host's counts are partial sums."""
-    lines = docs.select("host", F.explode(F.array_distinct(F.transform(F.split("text", r"[\r\n]+"), _norm_line))).alias("line")).where("line <> ''")
-    n = docs.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least_docs)
+    Both counts are over distinct texts, by their hashes, and are partial sums before the last shuffle."""
+    d = docs.select("host", F.xxhash64("text").alias("h"), "text")
+    lines = d.where("contains(lower(text), '<noscript')").select("host", "h", F.explode(F.array_distinct(F.transform(_elements("text"), _norm_line))).alias("line")).distinct()
+    n = d.select("host", "h").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least_docs)
     seen = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, int(share * least_docs)))
     return seen.join(n, seen["host"].eqNullSafe(n["host"])).where(F.col("n") >= share * F.col("n_docs")).select(seen["host"], "line")
 
@@ -208,11 +220,13 @@ def residue(docs: DataFrame, share: float = 0.3, least_docs: int = 20) -> DataFr
 
     ``docs``: doc_id, host, text."""
     d = docs.where("text is not null and trim(text) <> ''")
-    lines = host_boilerplate(d, share, least_docs).groupBy("host").agg(F.collect_set("line").alias("boiler"))  # at most 1 / share lines a host document
+    lines = host_boilerplate(d, share, least_docs).groupBy("host").agg(F.collect_set("line").alias("boiler"))  # few: each is in a share of the host's texts
     c = d.select("doc_id", "host", "text").mapInArrow(_candidates, d.select("doc_id", "host", "text").schema)
     x = c.join(lines, c["host"].eqNullSafe(lines["host"]), "left").select("doc_id", "text", "boiler")
-    kept = F.filter(F.split("text", r"[\r\n]+"), lambda p: F.col("boiler").isNull() | ~F.array_contains("boiler", _norm_line(p)))
-    x = x.select("doc_id", F.array_join(kept, "\n").alias("t"))
+    chrome = F.filter(_elements("text"), lambda e: F.array_contains("boiler", _norm_line(e)))
+    rest = F.when(F.col("boiler").isNull(), F.col("text")).otherwise(F.aggregate(chrome, F.col("text"), lambda t, e: F.replace(t, e, F.lit("\n"))))
+    # an element that is all of a document is its content
+    x = x.select("doc_id", F.regexp_replace(F.when(F.length(F.regexp_replace(rest, r"\s+", "")) > 0, rest).otherwise(F.col("text")), r"[\r\n]+", "\n").alias("t"))
     any_kind = "|".join(KINDS.values())
     quoted = F.regexp_replace("t", r"(?<=\w )“[^”\n]{1,80}”(?= \w)", " ")
     s = F.split(quoted, r"\n+|(?:(?<=[.!?;])|(?<=[^\"]:)|(?<=[.!?;:][)”’\"']))\s+(?=[\p{Lu}\p{N}<\[{(“«\"$@_+-])|(?<=。)")

@@ -113,3 +113,13 @@ def test_boilerplate_of_a_host_is_subtracted(spark):
     rows = [(i, "site", f"<noscript>Please enable scripts</noscript>\nRecord {i} was measured.") for i in range(40)] + [(100, "site", "<noscript>Please enable scripts</noscript>\nAccess denied."), (101, "other", "<noscript>Please enable scripts</noscript>\nRecord.")]
     df = spark.createDataFrame(rows, "doc_id long, host string, text string")
     assert {r["doc_id"] for r in residue.residue(df).collect()} == {100, 101}
+
+
+def test_recurring_evidence_is_not_boilerplate(spark):
+    h = "<noscript>Please enable scripts</noscript>"
+    rows = [(i, "copies", "404 Not Found") for i in range(20)] + [(100 + i, "copies", f"Record {i} was measured.") for i in range(20)]
+    rows += [(200 + i, "ids", f"404 Not Found\nRequest {i}") for i in range(20)] + [(300 + i, "slots", f"Record {i} was measured.\nKi was {{{{ ki }}}} nM.") for i in range(20)]
+    rows += [(400 + i, "shells", h) for i in range(20)] + [(500 + i, "shells", f"{h}\nRecord {i} was measured.") for i in range(40)]
+    rows += [(600 + i, "spans", f"<noscript>\nPlease enable scripts\n</noscript>\nRecord {i} was measured.") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    assert {r["doc_id"] for r in residue.residue(df).collect()} == {k + i for k in (0, 200, 300, 400) for i in range(20)}

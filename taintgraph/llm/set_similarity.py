@@ -47,7 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_keys(texts: list[str], q: int) -> tuple[np.ndarray, bool]:
     """Sorted distinct keys ``row << 42 | token`` of all substrings of q characters, and whether tokens are exact.
 
-    Plain ASCII with q <= 6 packs a token into 42 bits; anything else is hashed into them. At most 2^21 texts."""
+    A token of plain ASCII with q <= 6 is packed into 42 bits; any other is hashed into them. At most 2^21 texts."""
     joined = "".join(texts)
     lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     exact = joined.isascii() and q <= 6
@@ -61,13 +61,20 @@ def shingle_keys(texts: list[str], q: int) -> tuple[np.ndarray, bool]:
     n = len(chars) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64), exact
-    code = np.zeros(n, np.uint64)
-    for k in range(q):
-        code = (code << np.uint64(7)) | chars[k : k + n] if exact else (code ^ chars[k : k + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
+    # how a token is coded depends on its characters alone, whatever texts stand beside it
+    code, packed = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    if q <= 6:
+        for k in range(q):
+            packed = (packed << np.uint64(7)) | chars[k : k + n]
     if not exact:
+        for k in range(q):
+            code = (code ^ chars[k : k + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
         code ^= code >> np.uint64(29)
         code *= np.uint64(0xBF58476D1CE4E5B9)
         code >>= np.uint64(22)
+    if q <= 6:
+        odd = np.concatenate(([0], np.cumsum(chars > 127)))
+        code = packed if exact else np.where(odd[q:] == odd[:-q], packed, code)
     row = np.repeat(np.arange(len(texts), dtype=np.uint64), lens)[:n]
     inside = np.arange(n) + q <= ends[row.astype(np.int64)]
     key = (row[inside] << np.uint64(42)) | code[inside]

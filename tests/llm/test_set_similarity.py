@@ -1,6 +1,8 @@
 import random
 
-from taintgraph.llm.set_similarity import shingle_keys, similar_pairs
+import pyarrow as pa
+
+from taintgraph.llm.set_similarity import _first_paths, shingle_keys, similar_pairs
 
 
 def brute(texts, q, num, den):
@@ -53,3 +55,22 @@ def test_large_nodes_are_split_and_lose_nothing(spark):
 def test_keys_of_rows_do_not_mix():
     keys, exact = shingle_keys(["abcdefg", "", "abc", "abcdefg"], 6)
     assert exact and sorted((k >> 42) for k in keys.tolist()) == [0, 0, 3, 3]
+
+
+def test_tokens_do_not_depend_on_the_texts_beside():
+    t = "CCOc1ccccc1N"
+    for q in (6, 7):
+        alone = shingle_keys([t], q)[0].tolist()
+        beside = [k for k in shingle_keys([t, "CCOµ試😀ccN"], q)[0].tolist() if not k >> 42]
+        assert beside == alone
+    paths = lambda *texts: {r["path"] for b in _first_paths(6, 5, 3)(iter([pa.record_batch({"s": list(texts), "h": list(range(len(texts)))})])) for r in b.to_pylist() if r["h"] == 0}
+    assert paths(t) == paths(t, "CCOµ試😀ccN")
+
+
+def test_partners_in_different_slices(spark):
+    t = [x for x in families(4, 40) if x] + [x + "µ" for x in families(5, 10)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert run(spark, t) == brute(set(t), 6, 7, 10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

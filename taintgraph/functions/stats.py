@@ -47,6 +47,10 @@ def poisson_weight(h: Column) -> Column:
     return w
 
 
+#: replicates of a test of a difference and of an interval (fixed values)
+DELTA_REPS, INTERVAL_REPS = 1000, 500
+
+
 def bootstrap(df: DataFrame, keys: list[str], row_id: str, reps: int, seed: int = 42, score: str = "score", label: str = "label") -> DataFrame:
     """keys + (rep, auroc): every replicate weighs every row by a Poisson draw of its id, which is the bootstrap that
     needs no row to know how many others there are. Replicates that lost a class are left out."""
@@ -55,14 +59,14 @@ def bootstrap(df: DataFrame, keys: list[str], row_id: str, reps: int, seed: int
     return auroc(r, [*keys, "rep"], score, label, "w").where(~F.isnan("auroc")).select(*keys, "rep", "auroc")
 
 
-def bootstrap_interval(df: DataFrame, keys: list[str], row_id: str, reps: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_interval(df: DataFrame, keys: list[str], row_id: str, reps: int = INTERVAL_REPS, seed: int = 42) -> DataFrame:
     """keys + (point, lower, upper, n_pos, n_neg): percentile interval of 95 %."""
     b = bootstrap(df, keys, row_id, reps, seed).groupBy(*keys).agg(F.percentile("auroc", [0.025, 0.975]).alias("ci"))
     point = auroc(df, keys)
     return point.join(b, keys, "left").select(*keys, F.col("auroc").alias("point"), F.col("ci")[0].alias("lower"), F.col("ci")[1].alias("upper"), "n_pos", "n_neg")
 
 
-def delta_test(df: DataFrame, keys: list[str], flag: str, row_id: str, reps: int = 200, seed: int = 42) -> DataFrame:
+def delta_test(df: DataFrame, keys: list[str], flag: str, row_id: str, reps: int = DELTA_REPS, seed: int = 42) -> DataFrame:
     """keys + (delta, lower, upper, p): AUROC of flagged rows less that of the others, two independent bootstraps.
 
     p is twice the smaller share of differences on one side of zero, at most 1."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taintgraph.functions.stats import auroc, bootstrap_interval, delta_test
+from taintgraph.functions.stats import DELTA_REPS, INTERVAL_REPS, auroc, bootstrap_interval, delta_test
 from taintgraph.operators.graph import bfs, labelled_bfs, path_category, shared_neighbour_count, typed_paths
 from taintgraph.session import cut
 
@@ -32,7 +32,7 @@ def shared_provenance_tags(pred: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumns({"share_pub": F.col("n_pub") > 0, "share_assay": F.col("n_assay") > 0})
 
 
-def provenance_delta(tags: DataFrame, reps: int = 100) -> DataFrame:
+def provenance_delta(tags: DataFrame, reps: int = DELTA_REPS) -> DataFrame:
     """Per source: AUROC of predictions sharing a publication with train less that of the others, with interval and p."""
     return delta_test(tags, ["source"], "share_pub", "example_id", reps)
 
@@ -120,7 +120,7 @@ def retrospective(pred: DataFrame, edges: DataFrame, hops: int = 2, anchor: Data
     return a.where(F.col("n") >= least).select("source", "part", "n", "auroc")
 
 
-def compare_models(pred: DataFrame, reps: int = 100) -> DataFrame:
+def compare_models(pred: DataFrame, reps: int = INTERVAL_REPS) -> DataFrame:
     """(model, source, point, lower, upper, n_pos, n_neg) of test predictions."""
     return bootstrap_interval(pred.where("fold = 'test'"), ["model", "source"], "example_id", reps)
 

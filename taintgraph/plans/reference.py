@@ -653,10 +653,19 @@ def delta_auroc(spark, sf):
     return on.join(off, "source").select("source", (F.col("x") - F.col("y")).alias("delta"))
 
 
+def _delta_test(spark, sf, reps: int = stats.DELTA_REPS):
+    d = audits.provenance_delta(_tags(spark, sf), reps)
+    return d.withColumns({c: F.round(c, 9) for c in ("delta", "lower", "upper", "p")})
+
+
 @query()
 def delta_auroc_test(spark, sf):
-    d = audits.provenance_delta(_tags(spark, sf), 50)
-    return d.withColumns({c: F.round(c, 9) for c in ("delta", "lower", "upper", "p")})
+    return _delta_test(spark, sf, 50)
+
+
+@query()
+def delta_auroc_test_full(spark, sf):
+    return _delta_test(spark, sf)
 
 
 _CROSS = f""", cb as (select src, dst from edges where {_LIGAND} union select dst, src from edges where {_LIGAND}), c0 as (select node_id, source tag, 0 hop from examples where source is not null),
@@ -766,6 +775,17 @@ def _boot_sql(name: str, source: str, keys: str, reps: int, seed: int = 42, wher
 {name} as (select {keys}, rep, sum(p * (2 * below + n))::double / (2 * sum(p) * sum(n)) a from {name}c group by {keys}, rep having sum(p) > 0 and sum(n) > 0)"""
 
 
+def _interval(spark, sf, reps: int = stats.INTERVAL_REPS):
+    b = stats.bootstrap_interval(kg.predictions(spark, sf).where("fold = 'test'"), ["source"], "example_id", reps)
+    return b.withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9)})
+
+
+def _baselines(spark, sf, reps: int = stats.INTERVAL_REPS):
+    p = kg.predictions(spark, sf)
+    m = p.withColumn("model", F.lit("blend")).unionByName(p.withColumn("score", F.round(stats.unit_hash(F.col("example_id")) % 1000 / 1000.0, 6)).withColumn("model", F.lit("noise")))
+    return audits.compare_models(m, reps).withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9)})
+
+
 @query(
     kg.sql(
         _boot_sql("bb", "pred", "source", 40)
@@ -774,8 +794,12 @@ select p.source, p.auroc as point, round(lower, 9) as lower, round(upper, 9) as
     )
 )
 def bootstrap_ci(spark, sf):
-    b = stats.bootstrap_interval(kg.predictions(spark, sf).where("fold = 'test'"), ["source"], "example_id", 40)
-    return b.withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9)})
+    return _interval(spark, sf, 40)
+
+
+@query()
+def bootstrap_ci_full(spark, sf):
+    return _interval(spark, sf)
 
 
 @query(
@@ -787,9 +811,12 @@ select model, p.source, p.auroc as point, round(lower, 9) as lower, round(upper,
     )
 )
 def baseline_compare(spark, sf):
-    p = kg.predictions(spark, sf)
-    m = p.withColumn("model", F.lit("blend")).unionByName(p.withColumn("score", F.round(stats.unit_hash(F.col("example_id")) % 1000 / 1000.0, 6)).withColumn("model", F.lit("noise")))
-    return audits.compare_models(m, 20).withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9)})
+    return _baselines(spark, sf, 20)
+
+
+@query()
+def baseline_compare_full(spark, sf):
+    return _baselines(spark, sf)
 
 
 ORACLE["delta_auroc_test"] = kg.sql(

@@ -73,6 +73,12 @@ def cross_corpus_pivot(matrix: DataFrame, k: int, sources: list[str]) -> DataFra
     return m.groupBy("train_source").pivot("test_source", sources).agg(F.max("pct"))
 
 
+def cross_corpus_pivots(matrix: DataFrame) -> DataFrame:
+    """(train_source, k, a column for every test source there is): per cent reached within k hops, for every k."""
+    m = cut(matrix.withColumn("pct", F.round(F.col("n_reached") * 100 / F.col("n_test"), 6)), "matrix")  # read for its sources, too
+    return m.groupBy("train_source", "k").pivot("test_source").agg(F.max("pct"))
+
+
 def horizon_curve(pred: DataFrame, edges_by_axis: dict[str, DataFrame], max_hop: int = 4, least: int = 5) -> DataFrame:
     """(axis, source, hop, n, auroc): how AUROC falls with the distance from train; 99 means out of reach."""
     out = None

@@ -676,8 +676,8 @@ mx as (select a.source train_source, b.source test_source, k, b.n_test, (select
  from sz a join sz b on a.source <> b.source, (values (1), (2)) v(k))"""
 
 
-def _cross(spark, sf):
-    return audits.cross_corpus_matrix(kg.examples(spark, sf), _axis(spark, sf), 2)
+def _cross(spark, sf, max_hop: int = 2):
+    return audits.cross_corpus_matrix(kg.examples(spark, sf), _axis(spark, sf), max_hop)
 
 
 @query(kg.sql(_CROSS + " select * from mx"))
@@ -690,6 +690,16 @@ def cross_corpus_pivot(spark, sf):
     return audits.cross_corpus_pivot(_cross(spark, sf), 2, ["chembl", "bindingdb", "dude"])
 
 
+@query()
+def cross_corpus_matrix_full(spark, sf):
+    return _cross(spark, sf, 3)
+
+
+@query()
+def cross_corpus_pivot_full(spark, sf):
+    return audits.cross_corpus_pivots(_cross(spark, sf, 3))
+
+
 def _horizon_sql() -> str:
     views, rows = "", []
     for i, (a, ts) in enumerate(vocab.HORIZON_AXES.items()):

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from taintgraph.functions import stats
+from taintgraph.plans import kg
 
 
 @pytest.mark.parametrize("name, reps", [("delta_auroc_test_full", 1000), ("bootstrap_ci_full", 500), ("baseline_compare_full", 500)])
@@ -12,3 +13,13 @@ def test_replicates(spark, smallest, monkeypatch, name, reps):
     monkeypatch.setattr(stats, "bootstrap", lambda df, keys, row_id, n, *a: seen.append(n) or plain(df, keys, row_id, n, *a))
     entry_module.queries()[name](spark, smallest)
     assert seen and set(seen) == {reps}
+
+
+def test_every_corpus_and_three_hops(spark, smallest):
+    q = entry_module.queries()
+    rows = [r.asDict() for r in q["cross_corpus_pivot_full"](spark, smallest).collect()]
+    sources = {r[0] for r in kg.examples(spark, smallest).where("source is not null").select("source").distinct().collect()}
+    assert {(r["train_source"], r["k"]) for r in rows} == {(s, k) for s in sources for k in (1, 2, 3)}
+    assert set(rows[0]) == {"train_source", "k"} | sources
+    small = {r["train_source"]: r.asDict() for r in q["cross_corpus_pivot"](spark, smallest).collect()}
+    assert small == {r["train_source"]: {c: r.get(c) for c in ("train_source", "chembl", "bindingdb", "dude")} for r in rows if r["k"] == 2}

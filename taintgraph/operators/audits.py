@@ -37,7 +37,7 @@ def provenance_delta(tags: DataFrame, reps: int = DELTA_REPS) -> DataFrame:
     return delta_test(tags, ["source"], "share_pub", "example_id", reps)
 
 
-def path_atlas(pred: DataFrame, edges: DataFrame, threshold: float = 0.5, max_hop: int = 3) -> DataFrame:
+def path_atlas(pred: DataFrame, edges: DataFrame, threshold: float = 0.5, max_hop: int = 4) -> DataFrame:
     """(example_id, source, hop, category) of mispredicted test examples: the kind of path that leads to train."""
     wrong = pred.where("fold = 'test'").where(
         ((F.col("label") == 1) & (F.col("score") < threshold)) | ((F.col("label") == 0) & (F.col("score") >= threshold))
@@ -79,7 +79,7 @@ def cross_corpus_pivots(matrix: DataFrame) -> DataFrame:
     return m.groupBy("train_source", "k").pivot("test_source").agg(F.max("pct"))
 
 
-def horizon_curve(pred: DataFrame, edges_by_axis: dict[str, DataFrame], max_hop: int = 4, least: int = 5) -> DataFrame:
+def horizon_curve(pred: DataFrame, edges_by_axis: dict[str, DataFrame], max_hop: int = 5, least: int = 5) -> DataFrame:
     """(axis, source, hop, n, auroc): how AUROC falls with the distance from train; 99 means out of reach."""
     out = None
     for axis, e in edges_by_axis.items():

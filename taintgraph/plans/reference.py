@@ -201,6 +201,11 @@ def hub_flag(spark, sf):
     return graph.flag_hubs(kg.nodes(spark, sf), kg.edges(spark, sf), 50).select("node_id", "degree", "is_hub")
 
 
+@query()
+def hub_flag_full(spark, sf):
+    return graph.flag_hubs(kg.nodes(spark, sf), kg.edges(spark, sf), vocab.HUB_DEGREE).select("node_id", "degree", "is_hub")
+
+
 _PAPERS = f"(select upper(split_part({kg.sql_id('node_id')}, ':', 2)) a from canonical_nodes where node_type = 'Protein')"
 
 
@@ -410,9 +415,9 @@ atlas as (select w.example_id, w.source, coalesce(hop, -1) as hop, case when pat
  from wrong w left join p2 on p2.node_id = w.example_id)"""
 
 
-def _atlas(spark, sf):
+def _atlas(spark, sf, max_hop: int = 2):
     e = graph.edges_of_types(kg.edges(spark, sf), vocab.AXES_WITH_FULL["full"])
-    return audits.path_atlas(kg.predictions(spark, sf), e, 0.5, 2)
+    return audits.path_atlas(kg.predictions(spark, sf), e, 0.5, max_hop)
 
 
 @query(kg.sql(_PATHS + " select * from atlas"))
@@ -425,6 +430,16 @@ def path_atlas_counts(spark, sf):
     return audits.path_atlas_counts(_atlas(spark, sf))
 
 
+@query()
+def path_atlas_full(spark, sf):
+    return _atlas(spark, sf, 4)
+
+
+@query()
+def path_atlas_counts_full(spark, sf):
+    return audits.path_atlas_counts(_atlas(spark, sf, 4))
+
+
 def _leak_sql(axes: dict[str, list[str]]) -> str:
     views, rows = "", []
     for i, (a, ts) in enumerate(axes.items()):
@@ -709,10 +724,19 @@ def _horizon_sql() -> str:
     return kg.sql(views + " " + " union all ".join(rows))
 
 
+def _horizon(spark, sf, max_hop: int):
+    e = kg.edges(spark, sf)
+    return audits.horizon_curve(kg.predictions(spark, sf), {a: graph.edges_of_types(e, ts) for a, ts in vocab.HORIZON_AXES.items()}, max_hop)
+
+
 @query(_horizon_sql())
 def horizon_curve(spark, sf):
-    e = kg.edges(spark, sf)
-    return audits.horizon_curve(kg.predictions(spark, sf), {a: graph.edges_of_types(e, ts) for a, ts in vocab.HORIZON_AXES.items()}, 3)
+    return _horizon(spark, sf, 3)
+
+
+@query()
+def horizon_curve_full(spark, sf):
+    return _horizon(spark, sf, 5)
 
 
 _HUB = ["example_has_protein", "example_from_publication", "example_from_assay"]
@@ -730,6 +754,12 @@ def hub_partition(spark, sf):
     return audits.hub_partition(kg.predictions(spark, sf), graph.flag_hubs(n, e, 50), graph.edges_of_types(e, _HUB), 1)
 
 
+@query()
+def hub_partition_full(spark, sf):
+    n, e = kg.nodes(spark, sf), kg.edges(spark, sf)
+    return audits.hub_partition(kg.predictions(spark, sf), graph.flag_hubs(n, e, vocab.HUB_DEGREE), graph.edges_of_types(e, _HUB), 2)
+
+
 def _labelled(spark, sf):
     e = kg.edges(spark, sf)
     lig = e.where("edge_type = 'example_has_ligand'").groupBy(F.col("src").alias("node_id")).agg(F.min("dst").alias("lig"))

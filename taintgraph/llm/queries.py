@@ -12,16 +12,18 @@ from taintgraph.vocab import LIGAND_IDENTITY
 
 
 def _p2_records(spark: SparkSession, sf: str) -> DataFrame:
+    """record: the id as it compares; name: its spelling in side_table, of several the smallest."""
     side = table(spark, sf, "side_table")
     lig = side.select(
         example_node(side["example_id"]).alias("record"), strip(side["source"]).alias("source"), inchi_block(side["inchikey"]).alias("ik"), reduced_smiles(side["smiles_canonical"]).alias("red")
     ).where("record is not null and (ik is not null or red is not null)")
+    names = side.groupBy(example_node(side["example_id"]).alias("record")).agg(F.min(F.concat(F.lit("ex:"), strip(side["example_id"]))).alias("name")).where("record is not null")
     folds = _folds(spark, sf, "random").withColumn("side", F.when(F.col("fold") == "train", "train").otherwise("eval"))
-    return lig.join(folds, "record").distinct()
+    return lig.join(folds.join(names, "record"), "record").distinct()
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    r = cut(_p2_records(spark, sf).select("record", "side", "ik", "red").distinct(), "records")
+    r = cut(_p2_records(spark, sf).select("record", "name", "side", "ik", "red").distinct(), "records")
     return split_overlap.record_pairs(r, split_overlap.overlaps(r))
 
 
@@ -115,7 +117,8 @@ _RED = (
 _IK = r"substr(regexp_replace(upper(regexp_replace(inchikey, '\s+', '', 'g')), '^INCHIKEY=', ''), 1, 14)"
 
 _P2 = f"""
-with lig as (select distinct 'ex:' || {_ID.format('example_id')} r, trim(source, {_BLANKS}) source, case when length({_IK}) = 14 then {_IK} end ik, {_RED} red from side_table),
+with names as (select 'ex:' || {_ID.format('example_id')} r, min('ex:' || trim(example_id, {_BLANKS})) nm from side_table where {_ID.format('example_id')} is not null group by 1),
+lig as (select distinct 'ex:' || {_ID.format('example_id')} r, trim(source, {_BLANKS}) source, case when length({_IK}) = 14 then {_IK} end ik, {_RED} red from side_table),
 f as (select distinct {_ID.format('node_id')} r, case when lower(trim(fold, {_BLANKS})) like 'train%' then 'train' when lower(trim(fold, {_BLANKS})) like 'val%' then 'val'
   when lower(trim(fold, {_BLANKS})) like 'test%' then 'test' end fold from split_result where protocol = 'random'),
 x as (select * from lig join f using (r) where fold is not null),
@@ -132,7 +135,7 @@ hit as (select distinct doc_id, item_id from wd join wi using (g))"""
 ORACLE = {
     "p9_found": _P9 + " select doc_id, item_id from hit",
     "p9_items": _P9 + """ select i.item_id, i.suite, i.split, count(h.doc_id) as n_docs from eval_items i left join hit h on h.item_id = i.item_id group by 1, 2, 3""",
-    "p2_found": _P2 + " select distinct least(tr, er) as node_id_a, greatest(tr, er) as node_id_b from p",
+    "p2_found": _P2 + " select distinct least(a.nm, b.nm) as node_id_a, greatest(a.nm, b.nm) as node_id_b from p join names a on a.r = tr join names b on b.r = er",
     "p2_counts": _P2
     + """ select fold, source, count(distinct r) as n_records, count(distinct case when r in (select er from p) then r end) as n_overlapping
 from x where fold <> 'train' and (ik is not null or red is not null) group by 1, 2""",

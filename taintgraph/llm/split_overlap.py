@@ -1,13 +1,17 @@
 """Same or nearly the same records across splits, by a compressed full-text index of the evaluation side.
 
-The evaluation side's keys, whole structures and pieces of structures are the entries of full-text indexes: a
-Burrows-Wheeler text with sampled occurrence counts, and the entry number for the rows of the delimiter only. Training
-entries stream through them by backward search. Entries are routed to index shards by the hash of their text, so a
-training entry is searched in exactly one shard, however many there are.
-
-Structures within ``edits`` changes share, by the pigeonhole principle, one of ``edits + 1`` pieces exactly at nearly
-the same place. So the one side contributes its pieces, the other the few substrings that can meet them; the spans
-found are merged per pair of texts and verified by a banded alignment.
+The distinct keys and structures of the evaluation side are laid out in shards. A shard indexes its whole texts: their
+Burrows-Wheeler text as a wavelet matrix, with a sampled suffix array. Training texts stream through a shard by backward
+search: a text is read in ``edits + 1`` pieces, of which, by the pigeonhole principle, one stands unchanged and nearly at
+its place in every text within ``edits`` changes. Each occurrence found is carried on to a maximal match, the matches of a pair of texts are
+merged into spans and counted, and pairs that a bound on their pairs of neighbouring characters does not rule out are
+verified by banded alignment.
+
+A shard holds texts of one length. Where the texts of a length exceed ``block_chars``, they are spread over shards by the
+hash of their pieces, and a training text visits only the shards of the substrings that can equal such a piece; so a text
+has a bounded number of shards however many there are. A shard that a common piece still fills beyond that is split
+into cells, and one that too many training texts visit is copied into lanes: a task holds at most ``block_chars``
+characters of index and reads about ``stream_chars`` of training text.
 
 Defined cases: missing or blank keys and structures never agree; equal structures are one text; any characters and any
 length are allowed; repeated records and folds count once; a record is no pair with itself; an empty side gives no
@@ -20,87 +24,161 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taintgraph.session import cut
+from taintgraph.session import cut, discard
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of all texts, start of each, length of each)."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    return flat, np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64), lens
+
+
+class Bits:
+    """A bit vector with constant-time rank."""
+
+    def __init__(self, bits: np.ndarray):
+        n = len(bits) // 64 + 1
+        padded = np.zeros(n * 64, np.uint8)
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.upto = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1])).astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before position i."""
+        w = i >> 6
+        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.upto[w] + np.bitwise_count(self.words[w] & low)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
 class FullTextIndex:
-    """Backward search over distinct entries, each enclosed in delimiters. Entries must not hold bytes 0 or 1."""
-
-    BLOCK = 128
-
-    def __init__(self, entries: list[bytes]):
-        self.n_entries = len(entries)
-        text = np.frombuffer(b"\x01" + b"\x01".join(entries) + b"\x01\x00", np.uint8)
-        sa = self._suffix_array(text)
-        self.bwt = text[sa - 1]
-        starts = np.flatnonzero(text == 1)
-        number = np.full(len(text), -1, np.int32)
-        number[starts] = np.arange(len(starts), dtype=np.int32)  # the last delimiter begins no entry
-        count = np.bincount(text, minlength=256)
-        self.first = np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
-        self.entry = number[sa[self.first[1] : self.first[1] + count[1]]]
-        self.symbols = np.flatnonzero(count)
-        self.code = np.full(256, -1, np.int64)
-        self.code[self.symbols] = np.arange(len(self.symbols))
-        n_blocks = len(text) // self.BLOCK + 1
-        pad = np.zeros(n_blocks * self.BLOCK, np.uint8)
-        pad[: len(text)] = self.bwt
-        self.bwt, self.n = pad.reshape(n_blocks, self.BLOCK), len(text)
-        self.occ = np.zeros((len(self.symbols), n_blocks), np.int32)
-        for k, c in enumerate(self.symbols):
-            self.occ[k, 1:] = np.cumsum((self.bwt == c).sum(axis=1), dtype=np.int32)[:-1]
+    """A compressed full-text index over texts: wavelet matrix of the Burrows-Wheeler text, every ``sample``-th position
+    of each text kept for locating. Each text ends in a mark of its own, so no match runs over its end."""
+
+    def __init__(self, texts: list[str], sample: int = 4):
+        flat, start, lens = code_points(texts)
+        self.texts, self.lens, self.flat, self.start = texts, lens, flat, start
+        self.alphabet, sym = np.unique(flat, return_inverse=True)
+        n = len(flat) + len(texts)
+        self.n = n
+        at = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), lens)  # a mark follows each text
+        seq = np.zeros(n, np.int64)  # 0 is the mark
+        seq[at] = sym + 1
+        self.first_at = start + np.arange(len(texts))
+        sa = self._suffix_array(seq, len(self.alphabet) + 1, int(lens.max(initial=0)))
+        bwt = seq[sa - 1]  # before the first text stands the last mark
+        count = np.bincount(seq, minlength=len(self.alphabet) + 1)
+        self.first = np.concatenate(([0], np.cumsum(count)[:-1]))
+        self.count = count
+        offset = np.zeros(n, np.int64)
+        offset[at] = np.arange(len(flat)) - np.repeat(start, lens)
+        kept = (seq[sa] > 0) & (offset[sa] % sample == 0)
+        self.kept, self.position = Bits(kept), sa[kept].astype(np.int32)
+        self.levels, self.zeros = [], []
+        cur = bwt
+        for b in range(max(1, int(len(self.alphabet)).bit_length()) - 1, -1, -1):
+            bit = (cur >> b) & 1
+            self.levels.append((b, Bits(bit)))
+            self.zeros.append(int(len(cur) - bit.sum()))
+            cur = np.concatenate((cur[bit == 0], cur[bit == 1]))
+        self.base = self._descend(np.arange(len(self.alphabet) + 1), np.zeros(len(self.alphabet) + 1, np.int64))
 
     @staticmethod
-    def _suffix_array(text: np.ndarray) -> np.ndarray:
-        """By doubling; entries are distinct and delimited, so the rounds end with the longest entry."""
-        n, k = len(text), 6
-        key = np.zeros(n, np.int64)
+    def _suffix_array(seq: np.ndarray, sigma: int, longest: int) -> np.ndarray:
+        """By doubling; a text's mark sorts before everything, and equal ends of texts by the order of the texts."""
+        n = len(seq)
+        width = max(1, int(sigma).bit_length())
+        k = max(1, min(62 // width, longest + 1))
+        key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
         for i in range(k):
-            key = (key << 8) | np.concatenate((text[i:], np.zeros(min(i, n), np.uint8)))[:n]
+            here = np.zeros(n, np.int64)
+            here[: n - i if i < n else 0] = seq[i:]
+            key = (key << width) | np.where(open_, here, 0)
+            open_ &= here > 0
+        sa = np.argsort(key, kind="stable")
+        sorted_key, ended = key[sa], ~open_[sa]
+        fresh = np.concatenate(([True], (sorted_key[1:] != sorted_key[:-1]) | ended[1:]))
+        rank = np.empty(n, np.int64)
+        group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        rank[sa] = group
         while True:
-            sa = np.argsort(key)
-            new = np.concatenate(([0], (key[sa][1:] != key[sa][:-1]).cumsum()))
-            rank = np.empty(n, np.int64)
-            rank[sa] = new
-            if new[-1] == n - 1:
+            last = np.append(fresh[1:], True)
+            tied = np.flatnonzero(~(fresh & last))
+            if not len(tied):
                 return sa
-            nxt = np.concatenate((rank[k:] + 1, np.zeros(min(k, n), np.int64)))[:n]
-            key, k = rank * (n + 1) + nxt, k * 2
-
-    def _rank(self, sym: np.ndarray, byte: np.ndarray, i: np.ndarray) -> np.ndarray:
-        block, off = i // self.BLOCK, i % self.BLOCK
-        inside = ((self.bwt[block] == byte[:, None]) & (np.arange(self.BLOCK) < off[:, None])).sum(axis=1)
-        return self.occ[sym, block] + inside
-
-    def find(self, patterns: list[bytes], chunk: int = 4096) -> np.ndarray:
-        """Number of the entry equal to each pattern, or -1."""
-        out = np.full(len(patterns), -1, np.int64)
-        order = sorted(range(len(patterns)), key=lambda i: len(patterns[i]))
-        for at in range(0, len(order), chunk):
-            mine = np.array(order[at : at + chunk])
-            pats = [b"\x01" + patterns[i] + b"\x01" for i in mine]
-            width = len(pats[-1])
-            m = np.frombuffer(b"".join(p.rjust(width, b"\x00") for p in pats), np.uint8).reshape(len(pats), width)
-            lens = np.array([len(p) for p in pats])
-            lo, hi = np.zeros(len(pats), np.int64), np.full(len(pats), self.n, np.int64)
-            live = np.arange(len(pats))
-            for col in range(width - 1, -1, -1):
-                live = live[(lens[live] >= width - col) & (lo[live] < hi[live])]
-                if not len(live):
-                    break
-                byte = m[live, col]
-                sym = self.code[byte]
-                known = sym >= 0
-                hi[live[~known]] = lo[live[~known]]
-                live, byte, sym = live[known], byte[known], sym[known]
-                base = self.first[byte]
-                lo[live], hi[live] = base + self._rank(sym, byte, lo[live]), base + self._rank(sym, byte, hi[live])
-            hit = np.flatnonzero(lo < hi)
-            out[mine[hit]] = self.entry[lo[hit] - self.first[1]]
-        return out
+            mine = sa[tied]
+            nxt = np.minimum(mine + k, n - 1)  # a tied suffix is longer than k
+            order = np.lexsort((rank[nxt], group[tied]))
+            mine = mine[order]
+            second, g = rank[nxt][order], group[tied]
+            sa[tied] = mine
+            new = np.concatenate(([True], (g[1:] != g[:-1]) | (second[1:] != second[:-1])))
+            fresh[tied] = new
+            group[tied] = np.maximum.accumulate(np.where(new, tied, 0))
+            rank[mine] = group[tied]
+            k *= 2
+
+    def _descend(self, sym: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        for (b, bits), zero in zip(self.levels, self.zeros):
+            ones = bits.rank(pos)
+            pos = np.where((sym >> b) & 1, zero + ones, pos - ones)
+        return pos
+
+    def rank(self, sym: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before each position of the Burrows-Wheeler text."""
+        return self._descend(sym, pos) - self.base[sym]
+
+    def symbols(self, flat: np.ndarray) -> np.ndarray:
+        """Index symbols of characters; -1 for those no text holds."""
+        if not len(self.alphabet):
+            return np.full(len(flat), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, flat), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == flat, at + 1, -1)
+
+    def search(self, sym: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the substrings ``sym[start : start + size]``, by backward search side by side."""
+        m = len(start)
+        lo, hi = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
+        live = np.flatnonzero(size > 0)
+        hi[size <= 0] = 0
+        step = 0
+        while len(live):
+            s = sym[start[live] + size[live] - 1 - step]
+            dead = s < 0
+            if dead.any():
+                hi[live[dead]] = lo[live[dead]]
+                live, s = live[~dead], s[~dead]
+            if step == 0:
+                lo[live], hi[live] = self.first[s], self.first[s] + self.count[s]
+            else:
+                both = self.rank(np.concatenate((s, s)), np.concatenate((lo[live], hi[live])))
+                lo[live], hi[live] = self.first[s] + both[: len(s)], self.first[s] + both[len(s) :]
+            step += 1
+            live = live[(lo[live] < hi[live]) & (size[live] > step)]
+        return lo, hi
+
+    def locate(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, offset) of rows whose suffix begins inside a text."""
+        rows, back = rows.copy(), np.zeros(len(rows), np.int64)
+        walk = np.flatnonzero(~self.kept.get(rows))
+        while len(walk):
+            pos, sym = rows[walk], np.zeros(len(walk), np.int64)
+            for (b, bits), zero in zip(self.levels, self.zeros):
+                one, before = bits.get(pos), bits.rank(pos)
+                sym |= one.astype(np.int64) << b
+                pos = np.where(one, zero + before, pos - before)
+            rows[walk] = self.first[sym] + pos - self.base[sym]
+            back[walk] += 1
+            walk = walk[~self.kept.get(rows[walk])]
+        at = self.position[self.kept.rank(rows)].astype(np.int64) + back
+        text = np.searchsorted(self.first_at, at, side="right") - 1
+        return text, at - self.first_at[text]
 
 
 def pieces(length: int, edits: int) -> list[tuple[int, int]]:
@@ -169,162 +247,250 @@ def within_edits(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return out <= edits
 
 
-#: kinds of entries: a key, a whole structure, pieces of an evaluation structure met by training substrings, the reverse
-KEY, WHOLE, EVAL_PIECE, TRAIN_PIECE = 0, 1, 2, 3
-_ROUTED = "route long, query boolean, kind byte, other int, piece int, start int, size int, text string"
-
-
-def _entries(edits: int):
-    """From (query, kind, text) to routed entries; kinds EVAL_PIECE and TRAIN_PIECE are cut into pieces or probes."""
-    import xxhash
-
-    schema = pa.schema([("route", pa.int64()), ("query", pa.bool_()), ("kind", pa.int8()), ("other", pa.int32()), ("piece", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("text", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[tuple[bool, int], list] = {}
-        for b in batches:
-            rows = []
-            for query, kind, text in zip(b.column("query").to_pylist(), b.column("kind").to_pylist(), b.column("text").to_pylist()):
-                n = len(text)
-                if kind in (KEY, WHOLE):
-                    todo = [(n, 0, 0, n)]
-                else:
-                    whole_side = query if kind == TRAIN_PIECE else not query
-                    todo = plans.get((whole_side, n))
-                    if todo is None:
-                        todo = plans[whole_side, n] = [(n, i, s, k) for i, (s, k) in enumerate(pieces(n, edits))] if whole_side else probes(n, edits)
-                for other, i, s, k in todo:
-                    route = xxhash.xxh64_intdigest(f"{kind}.{other}.{i}.{text[s : s + k]}") - 2**63
-                    rows.append((route, query, kind, other, i, s, k, text))
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
-
-    return run
-
-
-_MATCH = pa.schema([("kind", pa.int8()), ("eval_text", pa.string()), ("train_text", pa.string())])
+def sketches(flat: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """128 parity bits of the pairs of neighbouring characters of each text. One edit flips four at most."""
+    out = np.zeros((len(lens), 2), np.uint64)
+    if len(flat) < 2:
+        return out
+    h = flat[:-1] * np.uint32(0x85EBCA6B) ^ flat[1:] * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(15)
+    bit = (h * np.uint32(0x9E3779B1)) >> np.uint32(25)
+    one = np.left_shift(np.uint64(1), (bit & np.uint32(63)).astype(np.uint64))
+    inside = np.ones(len(h), bool)
+    ends = (start + lens)[:-1] - 1
+    inside[ends[(ends >= 0) & (ends < len(h))]] = False  # this pair lies over the end of a text
+    for k, mine in enumerate((bit < 64, bit >= 64)):
+        word = np.concatenate((np.where(inside & mine, one, np.uint64(0)), np.zeros(1, np.uint64)))
+        some = np.flatnonzero(lens > 0)
+        out[some, k] = np.bitwise_xor.reduceat(word, start[some])
+    return out
 
 
-def _search(edits: int, block_chars: int):
-    """One shard: rows with ``query`` false build the index, in blocks of ``block_chars``; the others stream through."""
+#: kinds of indexes: keys, all structures, structures of records without key; kinds of matches: key, equal, near
+KEY, ALL, BARE = 0, 1, 2
+WHOLE, NEAR = 1, 2
+_MATCH = pa.schema([("kind", pa.int8()), ("eval_text", pa.string()), ("train_text", pa.string()), ("n_spans", pa.int32()), ("n_chars", pa.int32())])
+_MATCH_DDL = "kind byte, eval_text string, train_text string, n_spans int, n_chars int"
+
+
+def _maximal(index: FullTextIndex, flat: np.ndarray, t_at: np.ndarray, e_at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far the texts agree before and from each pair of places; ``left``, ``right``: the most that can be."""
+
+    def grow(step: int, most: np.ndarray) -> np.ndarray:
+        n, live = np.zeros(len(most), np.int64), np.flatnonzero(most > 0)
+        while len(live):
+            k = n[live] if step > 0 else -n[live] - 1
+            live = live[flat[t_at[live] + k] == index.flat[e_at[live] + k]]
+            n[live] += 1
+            live = live[n[live] < most[live]]
+        return n
+
+    return grow(-1, left), grow(1, right)
+
+
+def matches(index: FullTextIndex, texts: list[str], edits: int, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, entry, number of merged spans, characters in them) of pairs at most ``edits`` apart."""
+    flat, start, lens = code_points(texts)
+    sym = index.symbols(flat)
+    base, extra = np.divmod(lens, edits + 1)
+    plain = edits + 1 - extra
+    own = sketches(flat, start, lens)
+    theirs = sketches(index.flat, index.start, index.lens)
+    seeds = []
+    for i in range(edits + 1):
+        p, size = i * base + np.maximum(0, i - plain), base + (i >= plain)  # as in pieces()
+        lo, hi = index.search(sym, start + p, size)
+        none = size == 0  # a piece of no characters stands everywhere: texts of fewer characters than pieces
+        for q in np.flatnonzero(none):
+            e = np.arange(len(index.lens))
+            seeds.append((np.full(len(e), q), e, np.zeros(len(e), np.int64), np.zeros(len(e), np.int64)))
+        n = np.where(none, 0, hi - lo)
+        some = np.flatnonzero(n > 0)
+        upto = np.cumsum(n[some])
+        at = 0
+        while at < len(some):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+            mine = some[at:end]
+            at = end
+            total = int(n[mine].sum())
+            for lot in range(0, total, most):  # a piece alone may occur more often than that
+                which = np.arange(lot, min(lot + most, total))
+                q = mine[np.searchsorted(np.cumsum(n[mine]), which, side="right")]
+                row = lo[q] + which - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])[which]
+                e, off = index.locate(row)
+                shift = np.abs(off - p[q])
+                tail = np.abs((index.lens[e] - off) - (lens[q] - p[q]))
+                near = (shift <= i) & (tail <= edits - i)
+                q, e, off = q[near], e[near], off[near]
+                apart = np.bitwise_count(own[q, 0] ^ theirs[e, 0]).astype(np.int64) + np.bitwise_count(own[q, 1] ^ theirs[e, 1])
+                ok = apart <= 4 * edits
+                seeds.append((q[ok], e[ok], p[q[ok]], off[ok]))
+    if not seeds:
+        return
+    q, e, p, off = (np.concatenate(x) for x in zip(*seeds))
+    if not len(q):
+        return
+    pair = q * len(index.lens) + e
+    names, where = np.unique(pair, return_inverse=True)
+    pq, pe = names // len(index.lens), names % len(index.lens)
+    good = np.zeros(len(names), bool)
+    for lot in range(0, len(names), 20_000):
+        a, b = pe[lot : lot + 20_000], pq[lot : lot + 20_000]
+        good[lot : lot + 20_000] = within_edits([index.texts[x] for x in a], [texts[x] for x in b], edits)
+    keep = good[where]
+    q, e, p, off, where = q[keep], e[keep], p[keep], off[keep], where[keep]
+    if not len(q):
+        return
+    back, on = _maximal(index, flat, start[q] + p, index.start[e] + off, np.minimum(p, off), np.minimum(lens[q] - p, index.lens[e] - off))
+    lo, hi = p - back, p + on
+    order = np.lexsort((hi, lo, where))
+    lo, hi, where = lo[order], hi[order], where[order]
+    wide = int(lens.max()) + 1
+    reach = np.maximum.accumulate(where * wide + hi) - where * wide  # furthest end so far within the pair
+    before = np.concatenate(([-1], np.where(where[1:] == where[:-1], reach[:-1], -1)))
+    spans = np.bincount(where, lo > before, minlength=len(names))
+    chars = np.bincount(where, np.maximum(hi - np.maximum(lo, before), 0), minlength=len(names))
+    yield pq[good], pe[good], spans[good].astype(np.int32), chars[good].astype(np.int32)
+
+
+_SHARD = ["kind", "len", "sub", "cell", "lane"]
+
+
+def _search(edits: int, rows_at_once: int = 4096, chars_at_once: int = 2_000_000):
+    """Shards one after the other: the rows with ``query`` false build the index, the others stream through it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[str]] = {}
-        blocks: list[tuple[FullTextIndex, list[bytes], dict[bytes, list[str]]]] = []
-        size = 0
-
-        def verified(pairs: set[tuple[int, str, str]]) -> set[tuple[int, str, str]]:
-            mine = list(pairs)
-            return {p for p, ok in zip(mine, within_edits([p[1] for p in mine], [p[2] for p in mine], edits)) if ok}
-
-        def close_block() -> None:
-            nonlocal held, size
-            if held:
-                names = list(held)
-                blocks.append((FullTextIndex(names), names, held))
-            held, size = {}, 0
-
-        def name(kind, other, piece, start, size, text) -> bytes:
-            return f"{kind}.{other}.{piece}.{text[start : start + size]}".encode("utf-8", "surrogatepass").replace(b"\x00", b"\xfe").replace(b"\x01", b"\xff")
+        shard, held, index, asked, size = None, [], None, ([], []), 0
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal index, asked, size
+            if held and index is None:
+                index = FullTextIndex(held)
+            for near, texts in enumerate(asked):
+                if texts and index is not None:
+                    for q, e, spans, chars in matches(index, texts, edits if near else 0):
+                        a, b = [index.texts[x] for x in e], [texts[x] for x in q]
+                        kind = np.array([KEY if shard[0] == KEY else WHOLE if x == y else NEAR for x, y in zip(a, b)], np.int8)
+                        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(spans), pa.array(chars)], schema=_MATCH)
+            asked, size = ([], []), 0
 
         for b in batches:
-            is_query = b.column("query").to_numpy(zero_copy_only=False)
-            cols = [b.column(c).to_pylist() for c in ("kind", "other", "piece", "start", "size", "text")]
-            rows = list(zip(*cols))
-            for k in np.flatnonzero(~is_query):
-                key = name(*rows[k])
-                if key not in held:
-                    size += len(key) + 1
-                held.setdefault(key, []).append(rows[k][5])
-                if size > block_chars:
-                    close_block()
-            ask = np.flatnonzero(is_query)
-            if not len(ask):
-                continue
-            close_block()  # entries come before all questions
-            asked: dict[bytes, list[int]] = {}
-            for k in ask:
-                asked.setdefault(name(*rows[k]), []).append(k)
-            texts = list(asked)
-            exact: set[tuple[int, str, str]] = set()
-            near: set[tuple[int, str, str]] = set()
-            for index, names, entries in blocks:
-                for t, e in zip(texts, index.find(texts)):
-                    if e < 0:
+            ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in _SHARD])
+            query, near = (b.column(c).to_numpy(zero_copy_only=False) for c in ("query", "near"))
+            texts = b.column("text").to_pylist()
+            cuts = np.flatnonzero(np.concatenate(([True], (ids[:, 1:] != ids[:, :-1]).any(axis=0)))).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(texts)]):
+                name = tuple(ids[:, lo].tolist())
+                if name != shard:
+                    yield from answer()
+                    shard, held, index = name, [], None
+                for k in range(lo, hi):
+                    if not query[k]:
+                        held.append(texts[k])
                         continue
-                    for k in asked[t]:
-                        kind, mine = rows[k][0], rows[k][5]
-                        if kind in (KEY, WHOLE):
-                            exact.add((kind, mine, mine))
-                            continue
-                        others = entries[names[e]]
-                        for at in range(0, len(others), 20_000):  # a piece that many structures share comes in parts
-                            near.update((kind, y, mine) for y in others[at : at + 20_000])
-                            if len(near) >= 20_000:
-                                exact |= verified(near)
-                                near = set()
-            exact |= verified(near)
-            if exact:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(exact)), _MATCH.types)], schema=_MATCH)
+                    if not held:
+                        break  # no evaluation text here
+                    asked[int(near[k])].append(texts[k])
+                    size += len(texts[k])
+                    if size >= chars_at_once or len(asked[0]) + len(asked[1]) >= rows_at_once:
+                        yield from answer()
+        yield from answer()
 
     return run
 
 
-def overlaps(records: DataFrame, edits: int = 2, block_chars: int = 4_000_000) -> DataFrame:
-    """(kind, eval_text, train_text): keys and structures of the evaluation side that the training side holds too.
-
-    ``records``: side (``train`` or ``eval``), ik (key block or null), red (reduced structure or null). Near matches
-    (kinds EVAL_PIECE, TRAIN_PIECE) are of structures of which at least one comes without a key somewhere."""
-    spark = records.sparkSession
-    query = (F.col("side") == "train").alias("query")
-    r = records.select(query, "ik", "red")
-    kind = lambda k: F.lit(k).cast("byte").alias("kind")
-    bare = r.where("red is not null and ik is null").select("query", "red").distinct()
-    every = r.where("red is not null").select("query", "red").distinct()
-    parts = [
-        r.where("ik is not null").select("query", kind(KEY), F.col("ik").alias("text")).distinct(),
-        every.select("query", kind(WHOLE), F.col("red").alias("text")),
-        every.where("not query").select("query", kind(EVAL_PIECE), "red"),
-        bare.where("query").select("query", kind(EVAL_PIECE), "red"),
-        every.where("query").select("query", kind(TRAIN_PIECE), "red"),
-        bare.where("not query").select("query", kind(TRAIN_PIECE), "red"),
-    ]
-    todo = parts[0]
-    for p in parts[1:]:
-        todo = todo.union(p)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = todo.mapInArrow(_entries(edits), _ROUTED)
-    shards = routed.repartition(n, "route").sortWithinPartitions("query")
-    return shards.mapInArrow(_search(edits, block_chars), "kind byte, eval_text string, train_text string")
+def _piece_hashes(text: str, n: Column, other: Column, edits: Column, subs: Column, moves: bool) -> Column:
+    """Shard numbers of the pieces of a text of length ``other``; with ``moves``, of the substrings of a text of length
+    ``n`` that can equal them. The same as :func:`pieces` and :func:`probes`, as an expression."""
+    base, extra = (other / (edits + 1)).cast("int"), other % (edits + 1)
+    plain = edits + 1 - extra
+
+    def of(i: Column) -> Column:
+        p, size = i * base + F.greatest(F.lit(0), i - plain), base + (i >= plain).cast("int")
+        shift = n - other
+        lo = F.greatest(F.lit(0), p - i, p + shift - (edits - i)) if moves else p
+        hi = F.least(n - size, p + i, p + shift + (edits - i)) if moves else p
+        at = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda s: F.pmod(F.xxhash64(i, F.substr(F.col(text), s + 1, size)), subs).cast("int"))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), edits), of)))
+
+
+def overlaps(records: DataFrame, edits: int = 2, block_chars: int = 4_000_000, stream_chars: int = 64_000_000) -> DataFrame:
+    """(kind, eval_text, train_text, n_spans, n_chars): keys and structures of the evaluation side that the training side
+    holds too, with the merged spans of their maximal matches.
+
+    ``records``: side (``train`` or ``eval``), ik (key block or null), red (reduced structure or null). Near matches are
+    of structures of which at least one comes without a key somewhere."""
+    r = records.select((F.col("side") == "train").alias("query"), "ik", "red")
+    kind = lambda k: F.lit(k).cast("int").alias("kind")
+    keys = r.where("ik is not null").select("query", F.col("ik").alias("text")).distinct()
+    texts = cut(r.where("red is not null").groupBy("query", F.col("red").alias("text")).agg(F.max(F.col("ik").isNull()).alias("bare")), "texts")
+    entries = (
+        keys.where("not query").select(kind(KEY), "text")
+        .union(texts.where("not query").select(kind(ALL), "text"))
+        .union(texts.where("not query and bare").select(kind(BARE), "text"))
+        .select("kind", F.length("text").alias("len"), "text")
+    )
+    asks = (
+        keys.where("query").select(kind(KEY), F.lit(False).alias("near"), "text")
+        .union(texts.where("query").select(kind(ALL), F.col("bare").alias("near"), "text"))
+        .union(texts.where("query and not bare").select(kind(BARE), F.lit(True).alias("near"), "text"))
+    )
+    # one row per kind and length
+    sizes = cut(entries.groupBy("kind", "len").agg(F.ceil(F.sum(F.length("text") + 1) / block_chars).cast("int").alias("subs")), "sizes")
+    apart = lambda c: F.when(F.col("kind") == KEY, 0).otherwise(c)
+    n, subs, one = F.length("text"), F.col("subs"), F.array(F.lit(0))
+    e = entries.join(sizes, ["kind", "len"]).select(
+        "kind", "len", F.explode(F.when(subs == 1, one).otherwise(_piece_hashes("text", n, n, apart(F.lit(edits)), subs, False))).alias("sub"), "text"
+    )
+    reach = F.when(F.col("near"), F.sequence(F.greatest(F.lit(1), n - edits), n + edits)).otherwise(F.array(n))
+    q = asks.withColumn("len", F.explode(reach)).join(sizes, ["kind", "len"])
+    whole = F.slice(_piece_hashes("text", n, n, apart(F.lit(edits)), subs, False), 1, 1)  # an equal text stands in all its shards
+    visit = F.when(subs == 1, one).when(~F.col("near"), whole).otherwise(_piece_hashes("text", n, F.col("len"), F.lit(edits), subs, True))
+    q = q.select("kind", "len", F.explode(visit).alias("sub"), "near", "text")
+    shard = ["kind", "len", "sub"]
+    load = e.groupBy(*shard).agg(F.sum(n + 1).alias("e")).join(q.groupBy(*shard).agg(F.sum(n + 1).alias("q")), shard)
+    grid = cut(load.select(*shard, F.ceil(F.col("e") / block_chars).cast("int").alias("cells"), F.ceil(F.col("q") / stream_chars).cast("int").alias("lanes")), "grid")
+    some = lambda c: F.pmod(F.xxhash64("text"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    e = e.join(grid, shard).withColumn("cell", some("cells")).withColumn("lane", every("lanes"))
+    q = q.join(grid, shard).withColumn("lane", some("lanes")).withColumn("cell", every("cells"))
+    rows = e.select(*_SHARD, F.lit(False).alias("query"), F.lit(False).alias("near"), "text").union(q.select(*_SHARD, F.lit(True).alias("query"), "near", "text"))
+    out = rows.repartition(*_SHARD).sortWithinPartitions(*_SHARD, "query").mapInArrow(_search(edits), _MATCH_DDL)
+    found = cut(out.distinct(), "matches")
+    for t in (texts, sizes, grid):
+        discard(t)
+    return found
 
 
 def record_pairs(records: DataFrame, found: DataFrame) -> DataFrame:
-    """(node_id_a, node_id_b) of the records behind the matches. ``records``: record, side, ik, red."""
-    ev = records.where("side = 'eval'").select(F.col("record").alias("e"), F.col("ik").alias("eik"), F.col("red").alias("ered"))
-    tr = records.where("side = 'train'").select(F.col("record").alias("t"), F.col("ik").alias("tik"), F.col("red").alias("tred"))
-    m = cut(found.distinct(), "matches")
-    by_key = m.where(f"kind = {KEY}").select(F.col("eval_text").alias("eik")).join(ev, "eik").join(tr, F.col("eik") == F.col("tik"))
-    by_text = m.where(f"kind = {WHOLE}").select(F.col("eval_text").alias("ered")).join(ev, "ered").join(tr, F.col("ered") == F.col("tred"))
-    near = m.where(f"kind > {WHOLE} and eval_text <> train_text").select(F.col("eval_text").alias("ered"), F.col("train_text").alias("tred")).distinct()
+    """(node_id_a, node_id_b) of the records behind the matches, as ``name`` spells them, the smaller spelling first.
+
+    ``records``: record (the id as it compares), name (one spelling per record), side, ik, red."""
+    ev = records.where("side = 'eval'").select(F.struct("record", "name").alias("e"), F.col("ik").alias("eik"), F.col("red").alias("ered"))
+    tr = records.where("side = 'train'").select(F.struct("record", "name").alias("t"), F.col("ik").alias("tik"), F.col("red").alias("tred"))
+    by_key = found.where(f"kind = {KEY}").select(F.col("eval_text").alias("eik")).join(ev, "eik").join(tr, F.col("eik") == F.col("tik"))
+    by_text = found.where(f"kind = {WHOLE}").select(F.col("eval_text").alias("ered")).join(ev, "ered").join(tr, F.col("ered") == F.col("tred"))
+    near = found.where(f"kind = {NEAR}").select(F.col("eval_text").alias("ered"), F.col("train_text").alias("tred")).distinct()
     by_near = near.join(ev, "ered").join(tr, "tred").where("eik is null or tik is null")
-    every = by_key.select("e", "t").union(by_text.select("e", "t")).union(by_near.select("e", "t")).where("e <> t")
-    return every.select(F.least("e", "t").alias("node_id_a"), F.greatest("e", "t").alias("node_id_b")).distinct()
+    every = by_key.select("e", "t").union(by_text.select("e", "t")).union(by_near.select("e", "t")).where("e.record <> t.record")
+    return every.select(F.least("e.name", "t.name").alias("node_id_a"), F.greatest("e.name", "t.name").alias("node_id_b")).distinct()
 
 
 def overlap_counts(records: DataFrame, found: DataFrame) -> DataFrame:
     """Per fold and source: evaluation records, and those whose ligand a training record holds too. Needs no pairs.
 
     ``records``: record, fold, source, side, ik, red."""
-    m = cut(found.distinct(), "matches")
     tr_bare = records.where("side = 'train' and ik is null").select(F.col("red").alias("train_text")).distinct()
-    near = m.where(f"kind > {WHOLE} and eval_text <> train_text")
+    near = found.where(f"kind = {NEAR}")
     # a near match holds for every evaluation record of the text if a training record of the other comes without key
     near_all = near.join(tr_bare, "train_text", "left_semi").select(F.col("eval_text").alias("red"))
     near_bare = near.select(F.col("eval_text").alias("red"))
     ev = records.where("side = 'eval'").select("record", "fold", "source", "ik", "red")
     hit = (
-        ev.join(m.where(f"kind = {KEY}").select(F.col("eval_text").alias("ik")).distinct(), "ik", "left_semi").select("record", "fold", "source")
-        .union(ev.join(m.where(f"kind = {WHOLE}").select(F.col("eval_text").alias("red")).union(near_all).distinct(), "red", "left_semi").select("record", "fold", "source"))
+        ev.join(found.where(f"kind = {KEY}").select(F.col("eval_text").alias("ik")).distinct(), "ik", "left_semi").select("record", "fold", "source")
+        .union(ev.join(found.where(f"kind = {WHOLE}").select(F.col("eval_text").alias("red")).union(near_all).distinct(), "red", "left_semi").select("record", "fold", "source"))
         .union(ev.where("ik is null").join(near_bare.distinct(), "red", "left_semi").select("record", "fold", "source"))
     ).distinct()
     total = ev.select("record", "fold", "source").distinct().groupBy("fold", "source").agg(F.count(F.lit(1)).alias("n_records"))

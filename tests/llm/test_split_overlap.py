@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from taintgraph.llm import split_overlap as S
 
@@ -15,14 +17,52 @@ def lev(a, b):
     return row[-1]
 
 
-def test_index_finds_exactly_its_entries():
-    rnd = random.Random(1)
-    entries = sorted({bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 12))) for _ in range(500)})
+@pytest.mark.parametrize("letters", ["ab", "abc試𝒳", "CNO1()=c"])
+def test_index_locates_every_occurrence(letters):
+    rnd = random.Random(len(letters))
+    texts = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 30))) for _ in range(200)}) + ["", letters[0] * 300, letters[0] * 299]
+    ix = S.FullTextIndex(texts)
+    asked = ["".join(rnd.choice(letters + "z") for _ in range(rnd.randint(1, 5))) for _ in range(100)] + texts[:50] + [letters[0] * 298]
+    flat, start, lens = S.code_points(asked)
+    lo, hi = ix.search(ix.symbols(flat), start, lens)
+    for a, x, y in zip(asked, lo.tolist(), hi.tolist()):
+        want = sorted((k, i) for k, t in enumerate(texts) for i in range(len(t) - len(a) + 1) if t[i : i + len(a)] == a) if a else []
+        t, o = ix.locate(np.arange(x, y))
+        assert sorted(zip(t.tolist(), o.tolist())) == want
+
+
+def test_matches_against_brute_force():
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("CNO1()=c") for _ in range(rnd.randint(1, 24))) for _ in range(40)]
+
+    def near(t):
+        x = list(t)
+        for _ in range(rnd.randint(0, 3)):
+            x[rnd.randrange(len(x))] = rnd.choice("CNO")
+            if rnd.random() < 0.3:
+                x.insert(rnd.randrange(len(x)), "F")
+        return "".join(x)
+
+    entries, asked = sorted({near(rnd.choice(base)) for _ in range(150)}), sorted({near(rnd.choice(base)) for _ in range(150)})
     ix = S.FullTextIndex(entries)
-    asked = entries + [b"zzz", b"abcabcabcabcabc", b"a" * 40]
-    got = ix.find(asked)
-    assert got[: len(entries)].tolist() == list(range(len(entries)))
-    assert all(g == (entries.index(a) if a in entries else -1) for g, a in zip(got[len(entries) :], asked[len(entries) :]))
+    for k in (0, 1, 2):
+        got = {(int(q), int(e)): (int(s), int(c)) for part in S.matches(ix, asked, k, most=50) for q, e, s, c in zip(*part)}
+        assert set(got) == {(i, j) for i, a in enumerate(asked) for j, b in enumerate(entries) if lev(a, b) <= k}
+        for (q, e), (spans, chars) in got.items():
+            n = len(asked[q])
+            assert (spans, chars) == (1, n) if asked[q] == entries[e] else chars <= n and spans <= k + 1
+
+
+def test_shards_of_pieces_as_in_plain_words(spark):
+    rows = [(t, m) for t in ("", "a", "abcd", "abcdefghijk", "abcdefghijklm") for m in range(max(1, len(t) - 2), len(t) + 3)]
+    x = spark.createDataFrame(rows, "text string, m int")
+    n, k, subs = F.length("text"), F.lit(2), F.lit(1 << 30)
+    got = x.select("text", "m", S._piece_hashes("text", n, F.col("m"), k, subs, True).alias("p"), S._piece_hashes("text", n, n, k, subs, False).alias("e")).collect()
+    hashed = {}
+    for r in got:
+        hashed[r["text"], r["m"]] = (len(r["p"]), len(r["e"]))
+        want = {(i, r["text"][s : s + z]) for o, i, s, z in S.probes(len(r["text"]), 2) if o == r["m"]}
+        assert len(r["p"]) == len(want) and len(r["e"]) == len({(i, r["text"][s : s + z]) for i, (s, z) in enumerate(S.pieces(len(r["text"]), 2))})
 
 
 def test_banded_alignment():
@@ -55,7 +95,7 @@ def test_pieces_and_probes_miss_nothing(edits):
 
 
 def overlapping(spark, rows, **kw):
-    r = spark.createDataFrame(rows, "record string, side string, ik string, red string, fold string, source string, e string")
+    r = spark.createDataFrame(rows, "record string, side string, ik string, red string, fold string, source string, e string").withColumn("name", F.col("record"))
     return {(x["node_id_a"], x["node_id_b"]) for x in S.record_pairs(r, S.overlaps(r, **kw)).collect()}
 
 
@@ -95,7 +135,28 @@ def test_against_brute_force_and_counts(spark):
                     want.add(tuple(sorted((a[0], b[0]))))
     assert overlapping(spark, rows) == want
     assert overlapping(spark, rows, block_chars=200) == want
+    assert overlapping(spark, rows, block_chars=60, stream_chars=300) == want
     r = spark.createDataFrame(rows, "record string, side string, ik string, red string, fold string, source string, e string")
     c = S.overlap_counts(r, S.overlaps(r)).collect()
     hit = {x for p in want for x in p if next(q for q in rows if q[0] == x)[1] == "eval"}
     assert sum(x["n_overlapping"] for x in c) == len(hit) and sum(x["n_records"] for x in c) == sum(q[1] == "eval" for q in rows)
+
+
+def test_a_hot_piece_is_split_over_tasks(spark):
+    """Most structures begin alike, so that one shard holds them all: its cells and lanes lose no pair."""
+    rnd = random.Random(5)
+    rows = [row(f"r{i:04}", "train" if i % 2 else "eval", None, ("C" * 12 if i % 3 else "") + "".join(rnd.choice("CNO1()=c") for _ in range(24 if i % 3 else 36))) for i in range(900)]
+    r = spark.createDataFrame(rows, "record string, side string, ik string, red string, fold string, source string, e string").withColumn("name", F.col("record"))
+    got = S.overlaps(r, block_chars=2_000, stream_chars=5_000)
+    want = {(a[3], b[3]) for a in rows if a[1] == "eval" for b in rows if b[1] == "train" and abs(len(a[3]) - len(b[3])) <= 2 and lev(a[3], b[3]) <= 2}
+    assert {(x["eval_text"], x["train_text"]) for x in got.collect()} == want
+
+
+def test_spelling_of_ids(spark, tmp_path):
+    """Ids compare without case and blanks, and come out as the side table spells them; pairs are ordered by that."""
+    from taintgraph.llm import queries
+
+    side = spark.createDataFrame([("src:B", "s", None, "CCCCCC"), (" src:a ", "s", None, "CCCCCC"), ("SRC:b", "s", None, "CCCCCC")], "example_id string, source string, inchikey string, smiles_canonical string")
+    side.write.parquet(f"{tmp_path}/side_table.parquet")
+    spark.createDataFrame([("ex:SRC:A", "Train", "random"), ("EX:src:b", "test", "random")], "node_id string, fold string, protocol string").write.parquet(f"{tmp_path}/split_result.parquet")
+    assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [("ex:SRC:b", "ex:src:a")]

@@ -39,35 +39,52 @@ def entity_edges(members: DataFrame) -> DataFrame:
     return members.join(linked, "record").where("entity <> a").select("a", F.col("entity").alias("b")).distinct()
 
 
-def random_mate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(v, root) for every vertex that collapsed into another; vertices that are roots are not listed."""
+def _round(edges: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame]:
+    """(edges after one round, its collapses (v, to)): every tail goes into its smallest heads neighbour."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tails = both.where(~_heads(F.col("a"), round_no) & _heads(F.col("b"), round_no))
+    moved = tails.groupBy("a").agg(F.min("b").alias("to")).withColumnRenamed("a", "v")
+    ma = moved.select(F.col("v").alias("a"), F.col("to").alias("ta"))
+    mb = moved.select(F.col("v").alias("b"), F.col("to").alias("tb"))
+    x = edges.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y"))
+    return x.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), moved
+
+
+def random_mate(edges: DataFrame, max_rounds: int = 200, rounds_per_job: int = 2) -> DataFrame:
+    """(v, root) for every vertex that collapsed into another; vertices that are roots are not listed.
+
+    A job runs ``rounds_per_job`` rounds and writes the edges that are left together with the collapses."""
     spark = edges.sparkSession
-    cur, forest, rounds = cut(edges.select("a", "b"), "edges"), [], 0
-    left = cur.limit(1).count()
-    while left and rounds < max_rounds:
-        rounds += 1
-        both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tails = both.where(~_heads(F.col("a"), rounds) & _heads(F.col("b"), rounds))
-        moved = cut(tails.groupBy("a").agg(F.min("b").alias("to")).withColumnRenamed("a", "v"), "moved")
-        forest.append(moved)
-        ma = moved.select(F.col("v").alias("a"), F.col("to").alias("ta"))
-        mb = moved.select(F.col("v").alias("b"), F.col("to").alias("tb"))
-        x = cur.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y"))
-        nxt = cut(x.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        discard(cur)
-        cur, left = nxt, nxt.limit(1).count()
-    if left:
-        raise RuntimeError("contraction did not end")
+    cur, written, forest, rounds = cut(edges.select("a", "b"), "edges"), [], [], 0
+    written.append(cur)
+    while cur.limit(1).count():
+        if rounds >= max_rounds:
+            raise RuntimeError("contraction did not end")
+        step, out = cur, []
+        for _ in range(rounds_per_job):
+            rounds += 1
+            step, moved = _round(step, rounds)
+            out.append(moved.select(F.lit(False).alias("open"), F.col("v").alias("a"), F.col("to").alias("b")))
+        rows = step.select(F.lit(True).alias("open"), "a", "b")
+        for m in out:
+            rows = rows.union(m)
+        t = cut(rows, "round")
+        written.append(t)
+        cur = t.where("open").select("a", "b")
+        forest.append(t.where("not open").select(F.col("a").alias("v"), F.col("b").alias("root")))
     if not forest:
         return spark.createDataFrame([], "v string, root string")
     f = forest[0]
     for m in forest[1:]:
         f = f.union(m)
-    f = f.select("v", F.col("to").alias("root"))
-    for _ in range(max(1, math.ceil(math.log2(rounds + 1)))):
-        f = cut(f, "forest")
+    for k in range(1, math.ceil(math.log2(rounds + 1)) + 1):
         up = f.select(F.col("v").alias("root"), F.col("root").alias("above"))
         f = f.join(up, "root", "left").select("v", F.coalesce("above", "root").alias("root"))
+        if k % 2 == 0 or 2**k > rounds:
+            f = cut(f, "forest")
+            written.append(f)
+    for t in written[:-1]:
+        discard(t)
     return f
 
 
@@ -79,23 +96,31 @@ def components(members: DataFrame) -> DataFrame:
     return every.join(roots.withColumnRenamed("v", "entity"), "entity", "left").select("entity", F.coalesce("root", "entity").alias("root"))
 
 
-def torn_entities(members: DataFrame, folds: DataFrame, comps: DataFrame | None = None) -> DataFrame:
+def record_roots(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(record, root): all entities of a record lie in one component, so one of them tells it."""
+    return members.groupBy("record").agg(F.min("entity").alias("entity")).join(comps, "entity").select("record", "root")
+
+
+def torn_entities(members: DataFrame, folds: DataFrame) -> DataFrame:
     """Entities whose records lie in more than one fold. ``folds``: record, fold.
 
-    Folds are first gathered per component; only the entities of components that span several folds are looked at."""
-    members = memberships(members)
-    seen = members.join(folds.select("record", "fold").where("fold is not null").distinct(), "record").groupBy("entity").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"))
-    x = seen.join(comps if comps is not None else components(members), "entity")
-    spans = x.groupBy("root").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("root")
-    return x.join(spans, "root", "left_semi").where("lo < hi").select("entity")
+    The folds of a component are gathered over its records first. A component within one fold is whole, and so are its
+    entities; only the memberships of the others are read again, entity by entity."""
+    members = cut(memberships(members), "members")
+    folds = folds.select("record", "fold").where("record is not null and fold is not null").distinct()
+    comps = cut(components(members), "components")
+    spans = record_roots(members, comps).join(folds, "record").groupBy("root").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"))
+    torn = comps.join(spans.where("lo < hi").select("root"), "root", "left_semi").select("entity")
+    inside = members.join(torn, "entity", "left_semi").join(folds, "record").groupBy("entity").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"))
+    return inside.where("lo < hi").select("entity")
 
 
-def assign_folds(weights: DataFrame, shares: dict[str, float], big: float = 0.001, buckets: int = 4096) -> DataFrame:
+def assign_folds(weights: DataFrame, shares: dict[str, float], big: float = 0.001) -> DataFrame:
     """(root, fold) from component weights (root, weight), near the given shares.
 
     Components holding at least ``big`` of all weight are at most ``1 / big``, so they are placed one by one, the
     largest first, into the fold that lacks most. The others follow in hash order by cumulative weight: bucket sums
-    first (``buckets`` rows), then positions within each bucket, so that no window spans the whole table."""
+    first (4,096 rows), then positions within each bucket, so that no window spans the whole table."""
     spark = weights.sparkSession
     total = weights.agg(F.sum("weight")).first()[0] or 0
     names = list(shares)
@@ -108,8 +133,8 @@ def assign_folds(weights: DataFrame, shares: dict[str, float], big: float = 0.00
         f = max(names, key=lambda f: (need[f], -names.index(f)))
         need[f] -= r["weight"]
         placed.append((r["root"], f))
-    small = weights.where(F.col("weight") < big * total).select("root", "weight", F.xxhash64("root").alias("h"))
-    small = small.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    small = weights.where(F.col("weight") < big * total).select("root", "weight", F.md5("root").alias("h"))
+    small = small.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     sums = small.groupBy("bucket").agg(F.sum("weight").alias("w")).withColumn("before", F.coalesce(F.sum("w").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = Window.partitionBy("bucket").orderBy("h", "root").rowsBetween(Window.unboundedPreceding, 0)
     x = small.join(F.broadcast(sums.select("bucket", "before")), "bucket").withColumn("upto", F.col("before") + F.sum("weight").over(within))
@@ -127,13 +152,15 @@ def assign_folds(weights: DataFrame, shares: dict[str, float], big: float = 0.00
 
 
 def grouped_split(members: DataFrame, records: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(record, root, fold) for every record; all records of a component get one fold."""
-    members = memberships(members)
-    comps = components(members)
-    first = members.groupBy("record").agg(F.min("entity").alias("entity")).join(comps, "entity").select("record", "root")
+    """(record, root, fold) for every record; all records of a component get one fold. root: its smallest entity, or
+    ``record:`` and the record's id where it has none."""
+    members = cut(memberships(members), "members")
+    comps = cut(components(members), "components")
+    least = comps.groupBy("root").agg(F.min("entity").alias("low"))
+    named = comps.join(least, "root").select("entity", F.col("low").alias("root"))
     placed = cut(
-        records.select("record").where("record is not null").distinct().join(first, "record", "left").select("record", F.coalesce("root", F.concat(F.lit("record:"), "record")).alias("root")),
+        records.select("record").where("record is not null").distinct().join(record_roots(members, named), "record", "left").select("record", F.coalesce("root", F.concat(F.lit("record:"), "record")).alias("root")),
         "placed",
     )
-    weights = placed.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    weights = cut(placed.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "weights")
     return placed.join(assign_folds(weights, shares), "root").select("record", "root", "fold")

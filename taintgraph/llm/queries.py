@@ -132,7 +132,31 @@ wd as (select doc_id, unnest(list_transform(range(1, len(l) - 10), lambda i: arr
 wi as (select item_id, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(l[i : i + 11], ' '))) g from v where len(l) >= 12),
 hit as (select distinct doc_id, item_id from wd join wi using (g))"""
 
+#: components by recursive union, then the same placement: heavy ones one by one, the others by cumulative weight
+_P7_ASSIGNMENT = f"""
+with recursive m as (
+  select distinct * from (select 'ex:' || {_ID.format('example_id')} r, 'protein:' || {_ACC.format('uniprot')} e from side_table
+  union all select {_ID.format('src')}, {_ID.format('dst')} from canonical_edges where edge_type = 'example_from_publication') where r is not null and e is not null),
+p as (select distinct a.e a, b.e b from m a join m b on a.r = b.r),
+reach as (select a v, a root from p union select p.b, reach.root from reach join p on p.a = reach.v where reach.root < p.b),
+comp as (select v e, min(root) root from reach group by 1),
+rec as (select distinct 'ex:' || {_ID.format('example_id')} r from side_table where {_ID.format('example_id')} is not null),
+placed as (select rec.r, coalesce(min(c.root), 'record:' || rec.r) root from rec left join m on m.r = rec.r left join comp c on c.e = m.e group by rec.r),
+w as (select root, count(*) weight from placed group by 1), t as (select sum(weight)::double total from w),
+heavy as (select root, weight, row_number() over (order by weight desc, root) k from w, t where weight >= 0.001 * total),
+greedy as (select 0::bigint k, null::varchar root, null::varchar fold, 0.7 * total a, 0.15 * total b, 0.15 * total c from t
+  union all select h.k, h.root, case when a >= b and a >= c then 'train' when b >= c then 'val' else 'test' end,
+   case when a >= b and a >= c then a - h.weight else a end, case when not (a >= b and a >= c) and b >= c then b - h.weight else b end,
+   case when not (a >= b and a >= c) and b < c then c - h.weight else c end from greedy g join heavy h on h.k = g.k + 1),
+need as (select greatest(a, 0) a, greatest(b, 0) b, greatest(a, 0) + greatest(b, 0) + greatest(c, 0) room from greedy order by k desc limit 1),
+rest as (select total - coalesce((select sum(weight) from heavy), 0) rest from t),
+upto as (select root, sum(weight) over (order by md5(root), root rows unbounded preceding) u from w where root not in (select root from heavy)),
+fold as (select root, fold from greedy where root is not null
+  union all select root, case when u <= a / room * rest + 0.5 then 'train' when u <= a / room * rest + b / room * rest + 0.5 then 'val' else 'test' end from upto, need, rest)
+select placed.r as record, root, fold from placed join fold using (root)"""
+
 ORACLE = {
+    "p7_assignment": _P7_ASSIGNMENT,
     "p9_found": _P9 + " select doc_id, item_id from hit",
     "p9_items": _P9 + """ select i.item_id, i.suite, i.split, count(h.doc_id) as n_docs from eval_items i left join hit h on h.item_id = i.item_id group by 1, 2, 3""",
     "p2_found": _P2 + " select distinct least(a.nm, b.nm) as node_id_a, greatest(a.nm, b.nm) as node_id_b from p join names a on a.r = tr join names b on b.r = er",

@@ -30,9 +30,13 @@ def get_spark(master: str = "local[*]", app: str = "taintgraph", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset and the session runs on this
+    machine alone is it a local one of our own; on a cluster that is an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master is {master})")
         if "local" not in _OWN:
             _OWN["local"] = tempfile.mkdtemp(prefix="taintgraph-")
             atexit.register(_drop_local, _OWN["local"])

@@ -1,15 +1,20 @@
 """All similar pairs between set-valued records, by recursive chosen-path splitting.
 
-Every tree sends a record down a path of tokens of its own set: at each node it follows the token with the smallest
-rank under a hash shared by all records at that node, so two records stay together with the probability of their
-Jaccard similarity. After ``depth`` tokens the records of a node are compared by brute force if there are at most
-``node_limit``; a larger node is split again, now into two branches per record, until all are small. Trees are
-repeated until a pair at the threshold is met with probability ``recall``. Candidates are screened by a bound that
-loses nothing (the parity sketches of two sets differ in at most as many bits as the sets differ in tokens) and then
+Records of equal token sets are one class with a membership table. Every tree sends a class down a path of tokens of its
+own set: at each node it follows the token with the smallest rank under a hash shared by all records at that node, so two
+records stay together with the probability of their Jaccard similarity. After ``depth`` tokens the records of a node are
+compared by brute force if there are at most ``node_limit``. A larger node is split again, now into ``BRANCHES`` branches
+per record, which a pair at the threshold t survives with probability ``1 - (1 - t) ** BRANCHES``; that is part of the number of trees, so the
+declared recall holds for pairs that go through ``max_splits`` splits too. A node whose branches are no smaller than half of
+it holds nearly equal sets, which further splits would only copy: its records are compared exactly, in pairs of blocks of
+``node_limit`` records, one bounded task run each. So are nodes that are still too large after ``max_splits`` splits.
+
+Trees are repeated until a pair at the threshold is met with probability ``recall``. Candidates are screened by a bound
+that loses nothing (the parity sketches of two sets differ in at most as many bits as the sets differ in tokens) and then
 verified exactly on the whole texts.
 
-What moves between executors is 32 bytes per record and tree. A record's own paths need no other record, so the only
-shuffles are one by path, one for distinct candidates and the joins that fetch the texts of the candidates.
+What moves between executors is 40 bytes per record and tree. A record's own paths need no other record, so the only
+shuffles are one by path, one for distinct candidates and the sort-merge joins that fetch the texts of the candidates.
 
 Defined cases: null and blank values and values shorter than one token are no records; equal texts are one record;
 texts of equal token sets are a pair of similarity 1; any characters are allowed; a pair comes out once, the smaller
@@ -32,6 +37,8 @@ from taintgraph.session import cut
 
 _M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _ROWS, _CHARS = 8192, 1_000_000
+#: branches of a record where a node is split again
+BRANCHES = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,8 +114,30 @@ def _step(tok: np.ndarray, start: np.ndarray, size: np.ndarray, path: np.ndarray
     return nxt ^ (nxt >> np.uint64(31))
 
 
-_PATHS = pa.schema([("path", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
-_PATHS_DDL = "path long, h long, n int, s1 long, s2 long"
+_PATHS = pa.schema([("path", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("up", pa.int32())])
+_PATHS_DDL = "path long, h long, n int, s1 long, s2 long, up int"
+
+
+def _set_keys(q: int):
+    """Adds 128 bits that depend on the token set alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, "s"):
+            key, _ = shingle_keys(b.column("s").to_pylist(), q)
+            rows, start = np.unique((key >> np.uint64(42)).astype(np.int64), return_index=True)
+            tok, out = key & np.uint64((1 << 42) - 1), []
+            for m in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+                x = (tok + np.uint64(1)) * m
+                x ^= x >> np.uint64(29)
+                x *= np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+                full = np.zeros(b.num_rows, np.uint64)
+                if len(rows):
+                    full[rows] = np.add.reduceat(x, start)
+                out.append(pa.array(full.view(np.int64)))
+            yield b.append_column("k1", out[0]).append_column("k2", out[1])
+
+    return run
 
 
 def _slices(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
@@ -116,8 +145,8 @@ def _slices(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.Recor
         yield from parts(b, list(texts), _ROWS, _CHARS)
 
 
-def _emit(path, h, size, s1, s2) -> pa.RecordBatch:
-    cols = [path.view(np.int64), h, size.astype(np.int32), s1.view(np.int64), s2.view(np.int64)]
+def _emit(path, h, size, s1, s2, up) -> pa.RecordBatch:
+    cols = [path.view(np.int64), h, size.astype(np.int32), s1.view(np.int64), s2.view(np.int64), up]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_PATHS)
 
 
@@ -127,12 +156,12 @@ def _first_paths(q: int, trees: int, depth: int):
             rows, tok, start, size, s1, s2 = _signatures(b.column("s").to_pylist(), q)
             if not len(rows):
                 continue
-            h = b.column("h").to_numpy()[rows]
+            h, up = b.column("h").to_numpy()[rows], np.zeros(len(rows), np.int32)
             for t in range(trees):
                 path = np.full(len(rows), (t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1), np.uint64)
                 for _ in range(depth):
                     path = _step(tok, start, size, path, 0)
-                yield _emit(path, h, size, s1, s2)
+                yield _emit(path, h, size, s1, s2, up)
 
     return run
 
@@ -143,14 +172,16 @@ def _next_paths(q: int, branches: int):
             rows, tok, start, size, s1, s2 = _signatures(b.column("s").to_pylist(), q)
             if not len(rows):
                 continue
-            h, at = b.column("h").to_numpy()[rows], b.column("path").to_numpy()[rows].view(np.uint64)
+            h, at, up = b.column("h").to_numpy()[rows], b.column("path").to_numpy()[rows].view(np.uint64), b.column("up").to_numpy()[rows]
+            if not branches:  # as they are, to be compared
+                yield _emit(at, h, size, s1, s2, up)
             for k in range(branches):
-                yield _emit(_step(tok, start, size, at, k + 1), h, size, s1, s2)
+                yield _emit(_step(tok, start, size, at, k + 1), h, size, s1, s2, up)
 
     return run
 
 
-_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int64())])
+_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int64()), ("up", pa.int32())])
 
 
 def _compare(path, h, n, s1, s2, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -170,7 +201,7 @@ def _compare(path, h, n, s1, s2, num: int, den: int) -> Iterator[pa.RecordBatch]
         ok[ok] = (np.bitwise_count(s1[idx[ok]] ^ s1[j[ok]]).astype(np.int64) + np.bitwise_count(s2[idx[ok]] ^ s2[j[ok]])) <= most[ok]
         if ok.any():
             a, b = h[idx[ok]], h[j[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())], schema=_OUT)
 
 
 def _nodes(num: int, den: int, limit: int | None):
@@ -186,18 +217,18 @@ def _nodes(num: int, den: int, limit: int | None):
             runs = np.diff(np.append(cuts, len(path)))
             big = np.repeat(runs > limit, runs) if limit else np.zeros(len(path), bool)
             if big.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cols[1][big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(path[big])], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1][big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(path[big]), pa.array(cols[5][big])], schema=_OUT)
                 cols = [c[~big] for c in cols]
             pairable = np.repeat(runs > 1, runs)[~big]
             cols = [c[pairable] for c in cols]
             yield from _compare(cols[0], cols[1], cols[2].astype(np.int64), cols[3].view(np.uint64), cols[4].view(np.uint64), num, den)
 
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("path", "h", "n", "s1", "s2")]
+            cols = [b.column(c).to_numpy() for c in ("path", "h", "n", "s1", "s2", "up")]
             if passing is not None:
                 same = cols[0] == passing
                 if same.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[1][same]), pa.nulls(int(same.sum()), pa.int64()), pa.array(cols[0][same])], schema=_OUT)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[1][same]), pa.nulls(int(same.sum()), pa.int64()), pa.array(cols[0][same]), pa.array(cols[5][same])], schema=_OUT)
                     cols = [c[~same] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -240,28 +271,64 @@ def _verify(q: int, num: int, den: int):
     return run
 
 
+def n_trees(threshold: float, recall: float, depth: int, max_splits: int) -> int:
+    """Trees so that a pair at the threshold meets with probability ``recall``, through ``max_splits`` splits too."""
+    together = threshold**depth * (1 - (1 - threshold) ** BRANCHES) ** max_splits
+    return math.ceil(math.log(1 - recall) / math.log(1 - together))
+
+
+def _blocks(big: DataFrame, node_limit: int) -> DataFrame:
+    """Rows (path, h, up) of large nodes, once for every pair of blocks that holds their own; a pair of blocks is a node."""
+    n = big.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / node_limit).cast("int").alias("blocks"))
+    x = big.join(n, "path").withColumn("mine", F.pmod(F.xxhash64("h", "path"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return x.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "h", "up")
+
+
+def _candidates(lig: DataFrame, num: int, den: int, q: int, trees: int, depth: int, node_limit: int, max_splits: int) -> DataFrame:
+    """(a, b) distinct candidates among the records (h, s)."""
+
+    def compared(paths: DataFrame, limit: int | None) -> DataFrame:
+        return cut(paths.repartition("path").sortWithinPartitions("path").mapInArrow(_nodes(num, den, limit), "a long, b long, path long, up int"), "nodes")
+
+    paths, found = lig.select("h", "s").mapInArrow(_first_paths(q, trees, depth), _PATHS_DDL), None
+    for k in range(max_splits + 1):
+        out = compared(paths, node_limit)
+        pairs = out.where("b is not null").select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        big = out.where("b is null").select("path", F.col("a").alias("h"), "up")
+        if not big.limit(1).count():
+            break
+        size = big.groupBy("path").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("now"))
+        big = big.join(size, "path")
+        stuck = (F.col("up") > 0) & (F.col("now") >= F.col("up")) if k < max_splits else F.lit(True)
+        cells = _blocks(big.where(stuck).select("path", "h", "up"), node_limit)
+        found = found.union(compared(cells.join(lig.hint("merge"), "h").select("path", "h", "s", "up").mapInArrow(_next_paths(q, 0), _PATHS_DDL), None).select("a", "b"))
+        if k < max_splits:
+            paths = big.where(~stuck).select("path", "h", F.col("now").alias("up")).join(lig.hint("merge"), "h").select("path", "h", "s", "up").mapInArrow(_next_paths(q, BRANCHES), _PATHS_DDL)
+    return found.distinct()
+
+
 def similar_pairs(
     records: DataFrame, text: str, threshold: float = 0.7, q: int = 6, recall: float = 0.9995, depth: int = 3, node_limit: int = 2000, max_splits: int = 8
 ) -> DataFrame:
     """(ta, tb, shared, joint): pairs of different texts whose sets of q-character substrings have a Jaccard
-    similarity of at least ``threshold``."""
+    similarity of at least ``threshold``. Pairs of one class, and of members of two similar classes, come out each."""
     ratio = Fraction(str(threshold))
     num, den = ratio.numerator, ratio.denominator
-    trees = math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
-    spark = records.sparkSession
-    lig = cut(records.select(F.col(text).alias("s")).where(f"length(s) >= {q}").distinct().withColumn("h", F.xxhash64("s")), "records")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paths = lig.mapInArrow(_first_paths(q, trees, depth), _PATHS_DDL)
-    found = None
-    for k in range(max_splits + 1):
-        limit = node_limit if k < max_splits else None
-        out = cut(paths.repartition(n_parts, "path").sortWithinPartitions("path").mapInArrow(_nodes(num, den, limit), "a long, b long, path long"), "nodes")
-        pairs = out.where("b is not null").select("a", "b")
-        found = pairs if found is None else found.union(pairs)
-        big = out.where("b is null").select("path", F.col("a").alias("h"))
-        if not big.limit(1).count():
-            break
-        paths = big.join(lig, "h").mapInArrow(_next_paths(q, 2), _PATHS_DDL)
-    cand = found.distinct()
-    x = cand.join(lig.select(F.col("h").alias("a"), F.col("s").alias("ta")), "a").join(lig.select(F.col("h").alias("b"), F.col("s").alias("tb")), "b")
-    return x.select("ta", "tb").mapInArrow(_verify(q, num, den), "ta string, tb string, shared long, joint long")
+    texts = records.select(F.col(text).alias("s")).where(f"length(s) >= {q}").distinct().select("s", F.xxhash64("s").alias("h"))
+    lig = cut(texts.mapInArrow(_set_keys(q), "s string, h long, k1 long, k2 long"), "records")
+    classes = lig.groupBy("k1", "k2").agg(F.min("h").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # (rep, h) of the records that another one stands for
+    members = cut(lig.join(classes, ["k1", "k2"]).where("h <> rep").select("rep", "h"), "members")
+    reps = lig.join(members.select("h"), "h", "left_anti").select("h", "s")
+    cand = _candidates(reps, num, den, q, n_trees(threshold, recall, depth, max_splits), depth, node_limit, max_splits)
+    if members.limit(1).count():
+        cand = cut(cand, "candidates")
+        for end, other in (("a", "b"), ("b", "a")):
+            cand = cand.union(cand.join(members.select(F.col("rep").alias(end), F.col("h").alias("to")), end).select(*[(F.col("to") if c == end else F.col(other)).alias(c) for c in ("a", "b")]))
+        own, again = members.select("rep", F.col("h").alias("x")), members.select("rep", F.col("h").alias("y"))
+        inside = own.select(F.col("rep").alias("a"), F.col("x").alias("b")).union(own.join(again, "rep").where("x < y").select("x", "y"))
+        cand = cand.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda i: lig.select(F.col("h").alias(i), F.col("s").alias(f"t{i}")).hint("merge")
+    return cand.join(side("a"), "a").join(side("b"), "b").select("ta", "tb").mapInArrow(_verify(q, num, den), "ta string, tb string, shared long, joint long")

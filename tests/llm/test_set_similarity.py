@@ -2,7 +2,7 @@ import random
 
 import pyarrow as pa
 
-from taintgraph.llm.set_similarity import _first_paths, shingle_keys, similar_pairs
+from taintgraph.llm.set_similarity import BRANCHES, _first_paths, n_trees, shingle_keys, similar_pairs
 
 
 def brute(texts, q, num, den):
@@ -74,3 +74,25 @@ def test_partners_in_different_slices(spark):
         assert run(spark, t) == brute(set(t), 6, 7, 10)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_equal_token_sets_are_one_class_and_every_pair_comes_out(spark):
+    a = "ABCDEFG"
+    t = [a * k for k in range(2, 40)] + [a * 3 + "x", a * 5 + "y"] + families(6, 20)
+    assert run(spark, t) == brute(set(t), 6, 7, 10)
+
+
+def test_nearly_equal_sets_end_in_blocks(spark):
+    """Splits do not part sets that differ in a few of very many tokens: they are compared block by block, exactly."""
+    rnd = random.Random(7)
+    core = "".join(rnd.choice("CNOcn()=123") for _ in range(300))
+    t = [core[:k] + "F" + core[k:] for k in range(0, 300, 2)] + families(8, 20)
+    assert run(spark, t, node_limit=10, max_splits=6) == brute(set(t), 6, 7, 10)
+    assert run(spark, t, node_limit=10, max_splits=0) == brute(set(t), 6, 7, 10)
+
+
+def test_trees_count_the_splits():
+    assert n_trees(0.7, 0.9995, 3, 0) == 19
+    for splits in (0, 4, 8, 16):
+        n = n_trees(0.7, 0.9995, 3, splits)
+        assert (1 - 0.7**3 * (1 - 0.3**BRANCHES) ** splits) ** n <= 0.0005

@@ -50,25 +50,19 @@ def _round(edges: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame]:
     return x.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), moved
 
 
-def random_mate(edges: DataFrame, max_rounds: int = 200, rounds_per_job: int = 2) -> DataFrame:
+def random_mate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(v, root) for every vertex that collapsed into another; vertices that are roots are not listed.
 
-    A job runs ``rounds_per_job`` rounds and writes the edges that are left together with the collapses."""
+    A job runs a round and writes the edges that are left together with the collapses."""
     spark = edges.sparkSession
     cur, written, forest, rounds = cut(edges.select("a", "b"), "edges"), [], [], 0
     written.append(cur)
     while cur.limit(1).count():
         if rounds >= max_rounds:
             raise RuntimeError("contraction did not end")
-        step, out = cur, []
-        for _ in range(rounds_per_job):
-            rounds += 1
-            step, moved = _round(step, rounds)
-            out.append(moved.select(F.lit(False).alias("open"), F.col("v").alias("a"), F.col("to").alias("b")))
-        rows = step.select(F.lit(True).alias("open"), "a", "b")
-        for m in out:
-            rows = rows.union(m)
-        t = cut(rows, "round")
+        rounds += 1
+        left, moved = _round(cur, rounds)
+        t = cut(left.select(F.lit(True).alias("open"), "a", "b").union(moved.select(F.lit(False).alias("open"), F.col("v").alias("a"), F.col("to").alias("b"))), "round")
         written.append(t)
         cur = t.where("open").select("a", "b")
         forest.append(t.where("not open").select(F.col("a").alias("v"), F.col("b").alias("root")))
@@ -77,12 +71,11 @@ def random_mate(edges: DataFrame, max_rounds: int = 200, rounds_per_job: int = 2
     f = forest[0]
     for m in forest[1:]:
         f = f.union(m)
-    for k in range(1, math.ceil(math.log2(rounds + 1)) + 1):
+    for _ in range(math.ceil(math.log2(rounds + 1))):
         up = f.select(F.col("v").alias("root"), F.col("root").alias("above"))
         f = f.join(up, "root", "left").select("v", F.coalesce("above", "root").alias("root"))
-        if k % 2 == 0 or 2**k > rounds:
-            f = cut(f, "forest")
-            written.append(f)
+        f = cut(f, "forest")
+        written.append(f)
     for t in written[:-1]:
         discard(t)
     return f

@@ -85,11 +85,12 @@ EVIDENCE = [
     "Lorem ipsum amet sit nostrud eiusmod tempor.", "text text text text text", "xxx xxx xxx xxx", "404 Not Found", "Plates were read. Oops! Plates again.", "Traceback (most recent call last):\n  File \"a.py\", line 3", "Access denied.",
     "Bitte aktivieren Sie JavaScript in Ihrem Browser.", "You need to enable JavaScript to run this app.", "Seite nicht gefunden (Fehler 404).", "Ki was {{ value }} nM.", "Ki was ${ki} nM.", "Ki was __KI__ nM.", "Ki was @@KI@@ nM.", "Ki was [INSERT KI HERE] nM.",
     "Ki was NaN nM.", "Ki was {ki} nM.", "Ki was <your value> nM.", "Ki was «value» nM.", "Ki was %(ki)s nM.", "Ki was [[KI]] nM.", "Ki was #REF! nM.", "Ki was [object Object] nM.", "{\"error\": {\"code\": 500}}", "このページを表示するには JavaScript を有効にしてください。",
+    "asdf asdf jkl asdf", "Ki was $COMPOUND_NAME$ nM.", "We hit a snag Unexpected token in response at position 7.",
 ]
 CLEAN = [
     None, "", " \n", "The SMARTS [#6]~[#7] and the props {\"tanimoto\": 0.9} were checked by hand.", "The report generator fills {{ target_name }} from the accession table and escapes it before output.", "A 404 Not Found from the mirror was retried three times.",
     "Users were told “please enable JavaScript” by the former portal; the new one is static.", "Lorem ipsum stood in the first layout and was replaced by the authors.", "Set notation such as {A, B} and $\\mathrm{IC}_{50}$ is used.", "NaN is returned by the metric when a fold holds one class only, as intended.",
-    "c1c(CC)[nH]c(NC)c1 has no slot.", "<b>bold</b> and <br> are markup.", "Errors of the fit stayed below 5 %.", "x < y and y > z for all of them",
+    "c1c(CC)[nH]c(NC)c1 has no slot.", "<b>bold</b> and <br> are markup.", "Errors of the fit stayed below 5 %.", "x < y and y > z for all of them", "Prices rose from $40 to $50 and $A$ is a set.",
 ]
 
 
@@ -115,6 +116,19 @@ def test_boilerplate_of_a_host_is_subtracted(spark):
     assert {r["doc_id"] for r in residue.residue(df).collect()} == {100, 101}
 
 
+def test_small_hosts_and_plain_lines(spark):
+    """The share is judged by the lower end of its interval, at every size of a host alike."""
+    banner = "Turn JavaScript on to use the menu"
+    rows = [(i, "small", f"Home | Search\n{banner}\nRecord {i} was measured.") for i in range(3)]  # 3 of 3
+    rows += [(10 + i, "split", (f"{banner}\n" if i == 0 else "") + f"Record {i} was measured.") for i in range(3)]  # 1 of 3
+    rows += [(100 + i, "large", (f"{banner} {i}\n" if i % 2 else "") + f"Plate {'abcdefghij'[i % 10] * (i // 10 + 1)} was read.") for i in range(200)]  # half
+    rows += [(400, "small", f"Home | Search\n{banner}"), (401, "large", f"{banner} 7\nAccess denied.")]
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    assert {r["doc_id"] for r in residue.residue(df).collect()} == {10, 400, 401}
+    assert {r["doc_id"] for r in residue.residue(df, subtract=False).collect()} == {0, 1, 2, 10, 400, 401} | {100 + i for i in range(1, 200, 2)}
+    assert residue.host_boilerplate(df).count() == 3  # the two lines of the small host, the banner of the large one
+
+
 def test_recurring_evidence_is_not_boilerplate(spark):
     h = "<noscript>Please enable scripts</noscript>"
     rows = [(i, "copies", "404 Not Found") for i in range(20)] + [(100 + i, "copies", f"Record {i} was measured.") for i in range(20)]

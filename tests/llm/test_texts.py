@@ -121,8 +121,8 @@ def test_small_hosts_and_plain_lines(spark):
     banner = "Turn JavaScript on to use the menu"
     rows = [(i, "small", f"Home | Search\n{banner}\nRecord {i} was measured.") for i in range(3)]  # 3 of 3
     rows += [(10 + i, "split", (f"{banner}\n" if i == 0 else "") + f"Record {i} was measured.") for i in range(3)]  # 1 of 3
-    rows += [(100 + i, "large", (f"{banner} {i}\n" if i % 2 else "") + f"Plate {'abcdefghij'[i % 10] * (i // 10 + 1)} was read.") for i in range(200)]  # half
-    rows += [(400, "small", f"Home | Search\n{banner}"), (401, "large", f"{banner} 7\nAccess denied.")]
+    rows += [(100 + i, "large", (f"{banner}\n" if i % 2 else "") + f"Plate {'abcdefghij'[i % 10] * (i // 10 + 1)} was read.") for i in range(200)]  # half
+    rows += [(400, "small", f"Home | Search\n{banner}"), (401, "large", f"{banner}\nAccess denied.")]
     df = spark.createDataFrame(rows, "doc_id long, host string, text string")
     assert {r["doc_id"] for r in residue.residue(df).collect()} == {10, 400, 401}
     assert {r["doc_id"] for r in residue.residue(df, subtract=False).collect()} == {0, 1, 2, 10, 400, 401} | {100 + i for i in range(1, 200, 2)}

@@ -66,3 +66,20 @@ def ligand_node(c: Column) -> Column:
 def example_node(c: Column) -> Column:
     """Node id of an example id, as ids compare."""
     return F.concat(F.lit("ex:"), clean_id(c))
+
+
+#: ``source:source_id`` (fixed format)
+EXAMPLE_ID = r"^([a-z][a-z0-9_]*):([^:].*)$"
+
+
+def example_id(source: Column, source_id: Column) -> Column:
+    """``source:source_id``; null where either part is missing, the source holds a colon or the id starts with one."""
+    ok = (source != "") & ~F.contains(source, F.lit(":")) & (source_id != "") & ~F.startswith(source_id, F.lit(":"))
+    return F.when(ok, F.concat(source, F.lit(":"), source_id))
+
+
+def parse_example_id(c: Column, strict: bool = False) -> Column:
+    """struct(source, source_id); null for a malformed id, or an error if ``strict``. A null id stays null."""
+    bad = F.raise_error(F.concat(F.lit("malformed example_id: "), c)) if strict else F.lit(None)
+    parts = F.struct(F.regexp_extract(c, EXAMPLE_ID, 1).alias("source"), F.regexp_extract(c, EXAMPLE_ID, 2).alias("source_id"))
+    return F.when(c.rlike(EXAMPLE_ID), parts).when(c.isNotNull(), bad)

@@ -9,7 +9,7 @@ from taintgraph.functions.chem import letter_count
 from taintgraph.functions.text import accession, clean_id, strip
 from taintgraph.operators import graph
 from taintgraph.session import cut
-from taintgraph.vocab import EDGE_TYPE, NODE_TYPE, SIDE_SOURCES
+from taintgraph.vocab import ACCESSION, EDGE_TYPE, NODE_TYPE, OWN_EDGE_TYPE, SIDE_SOURCES, SIDE_TABLE
 
 
 # -- ids -------------------------------------------------------------------------------------------------------------
@@ -22,10 +22,25 @@ def scaffold_id(scaffold: Column) -> Column:
     return F.concat(F.lit("sca:"), F.md5(F.coalesce(scaffold, F.lit(""))))
 
 
+def rank_in_order(rows: DataFrame, keys: list[str], order_by: list[str], name: str) -> DataFrame:
+    """Adds the position (from 0) of each row within its keys, by the declared order.
+
+    Rows are laid out by ranges of (keys, order), so a hot key is spread over many tasks; positions are those within a
+    range plus the rows of the key in earlier ranges."""
+    x = cut(rows.repartitionByRange(*keys, *order_by).withColumn("__range", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    n = x.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    n = n.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r"), "__before")
+    here = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order_by)) - 1
+    same = F.col("__range") == F.col("__r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return x.withColumn("__here", here).join(n, same).withColumn(name, F.col("__before") + F.col("__here")).select(*rows.columns, name)
+
+
 def example_ids(examples: DataFrame, order_by: list[str]) -> DataFrame:
     """Adds row number (by declared order within source and target), example, ligand and scaffold ids."""
-    w = Window.partitionBy("source", "target").orderBy(*order_by)
-    x = examples.withColumn("row_idx", F.row_number().over(w) - 1)
+    x = rank_in_order(examples, ["source", "target"], order_by, "row_idx")
     return x.withColumns(
         {
             "example_id": F.concat_ws(":", F.lit("ex"), "source", "target", F.col("row_idx").cast("string")),
@@ -44,35 +59,38 @@ def example_props(label: Column, target: Column, source: Column) -> Column:
     return F.to_json(F.struct(label.alias("label"), target.alias("target"), source.alias("source")), {"ignoreNullFields": "false"})
 
 
-def emit(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+def emit(examples: DataFrame, decoy_protocol: bool = False, protein_target: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of examples with ids: example_id, ligand_node_id, scaffold_node_id, source, target, label,
-    smiles_canonical, scaffold_smiles. One pass emits all rows of an example; a distinct follows per table."""
+    smiles_canonical, scaffold_smiles; split and label_type where there are such columns. One pass emits all rows of an
+    example; rows with an open end go, and a distinct follows per table."""
     e = examples
-    node = lambda i, t, l, p=None: F.struct(i.alias("node_id"), F.lit(t).alias("node_type"), l.alias("label"), (p if p is not None else F.lit("{}")).alias("props"))
-    src, tgt = F.concat(F.lit("src:"), e["source"]), F.concat_ws(":", F.lit("tgt"), e["source"], e["target"])
-    nodes = e.select(
-        F.explode(
-            F.array(
-                node(e["example_id"], "Example", e["example_id"], example_props(e["label"], e["target"], e["source"])),
-                node(e["ligand_node_id"], "Ligand", e["smiles_canonical"]),
-                node(e["scaffold_node_id"], "Scaffold", F.coalesce(e["scaffold_smiles"], F.lit(""))),
-                node(tgt, "ProteinTarget", e["target"]),
-                node(src, "DatasetSource", e["source"]),
-            )
-        ).alias("n")
-    ).select("n.*")
+    node = lambda i, t, l, p=None: F.struct(i.alias("node_id"), F.lit(t).alias("node_type"), l.cast("string").alias("label"), (p if p is not None else F.lit("{}")).alias("props"))
     edge = lambda a, b, t: F.struct(a.alias("src"), b.alias("dst"), F.lit(t).alias("edge_type"))
-    edges = e.select(
-        F.explode(
-            F.array(
-                edge(e["example_id"], e["ligand_node_id"], "example_has_ligand"),
-                edge(e["ligand_node_id"], e["scaffold_node_id"], "ligand_has_scaffold"),
-                edge(e["example_id"], tgt, "example_targets_protein"),
-                edge(e["example_id"], src, "example_from_source"),
-            )
-        ).alias("x")
-    ).select("x.*")
-    return nodes.distinct(), edges.where("src is not null and dst is not null").distinct()
+    ex, src, tgt = e["example_id"], F.concat(F.lit("src:"), e["source"]), F.concat(F.lit("tgt:"), e["source"], F.lit(":"), e["target"])
+    nodes = [
+        node(ex, "Example", ex, example_props(e["label"], e["target"], e["source"])),
+        node(e["ligand_node_id"], "Ligand", e["smiles_canonical"]),
+        node(e["scaffold_node_id"], "Scaffold", F.coalesce(e["scaffold_smiles"], F.lit(""))),
+        node(src, "DatasetSource", e["source"]),
+    ]
+    edges = [edge(ex, e["ligand_node_id"], "example_has_ligand"), edge(e["ligand_node_id"], e["scaffold_node_id"], "ligand_has_scaffold"), edge(ex, src, "example_from_source")]
+    if protein_target:
+        nodes.append(node(tgt, "ProteinTarget", e["target"]))
+        edges.append(edge(ex, tgt, "example_targets_protein"))
+    if decoy_protocol:
+        decoy = F.concat(F.lit("prot:"), e["source"])
+        nodes.append(node(decoy, "DecoyProtocol", e["source"]))
+        edges.append(edge(ex, decoy, "example_uses_decoy_protocol"))
+    if "split" in e.columns:
+        part = F.concat(F.lit("split:"), e["source"], F.lit(":"), e["split"])
+        nodes.append(node(part, "Split", e["split"]))
+        edges.append(edge(ex, part, "example_in_split"))
+    if "label_type" in e.columns:
+        kind = F.concat(F.lit("lt:"), e["label_type"])
+        nodes.append(node(kind, "LabelType", e["label_type"]))
+        edges.append(edge(ex, kind, "example_has_label_type"))
+    rows = lambda structs: e.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
+    return rows(nodes).where("node_id is not null").distinct(), rows(edges).where("src is not null and dst is not null").distinct()
 
 
 # -- canonicalisation ------------------------------------------------------------------------------------------------
@@ -89,14 +107,17 @@ def map_node_types(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("node_type").isin(list(known))).withColumn("node_type", recode(F.col("node_type"), known, True))
 
 
-def map_edge_types(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("edge_type", recode(F.col("edge_type"), EDGE_TYPE, True))
+def map_edge_types(edges: DataFrame, keep_others: bool = True) -> DataFrame:
+    """Raw types to canonical ones; without ``keep_others``, a type that is neither raw nor canonical is dropped."""
+    known = {*EDGE_TYPE, *EDGE_TYPE.values(), *OWN_EDGE_TYPE}
+    e = edges if keep_others else edges.where(F.col("edge_type").isin(sorted(known)))
+    return e.withColumn("edge_type", recode(F.col("edge_type"), EDGE_TYPE, True))
 
 
 def protein_node(node_id: Column) -> Column:
     """A target or protein id whose last part is an accession, under one id per accession; other ids as they are."""
     acc = accession(F.regexp_extract(node_id, r"^(?:tgt:.*|protein):([^:]+)$", 1))
-    return F.when(acc.rlike(r"^[A-Z][0-9][A-Z0-9]{3}[0-9](?:[A-Z0-9]{4})?$"), F.concat(F.lit("protein:"), F.lower(acc))).otherwise(node_id)
+    return F.when(acc.rlike(ACCESSION), F.concat(F.lit("protein:"), F.lower(acc))).otherwise(node_id)
 
 
 def trivial_scaffolds(nodes: DataFrame, at_most: int = 6) -> DataFrame:
@@ -120,10 +141,13 @@ def cluster_nodes_edges(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def consolidate(nodes: DataFrame, edges: DataFrame, clusters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def consolidate(nodes: DataFrame, edges: DataFrame, clusters: DataFrame | None = None, assay_cap: int = 5) -> tuple[DataFrame, DataFrame]:
     """Raw to canonical graph, in the order that decides the result: types, protein ids, clusters, trivial scaffolds,
-    hub flags (before the prune), dangling prune, orphan drop, duplicate pairs."""
-    n, e = graph.rewrite_ids(map_node_types(nodes), map_edge_types(edges), protein_node)
+    hub flags (before the prune), dangling prune, direct provenance edges from the raw reference layers (their ends are
+    not pruned again), orphan drop, duplicate pairs."""
+    from taintgraph.operators import layers
+
+    n, e = graph.rewrite_ids(map_node_types(nodes), map_edge_types(edges, keep_others=False), protein_node)
     if clusters is not None:
         cn, ce = cluster_nodes_edges(clusters)
         n, e = n.unionByName(cn, allowMissingColumns=True), e.unionByName(ce, allowMissingColumns=True)
@@ -131,7 +155,8 @@ def consolidate(nodes: DataFrame, edges: DataFrame, clusters: DataFrame | None =
     n, e = drop_nodes(n, e, trivial_scaffolds(n))
     e = cut(e, "edges")  # degrees, prune and orphans each read them
     n = cut(graph.flag_hubs(n, e), "nodes")
-    e = cut(graph.prune_dangling(n, e), "edges")
+    direct = layers.provenance_edges(edges, assay_cap).select(F.col("src"), protein_node(F.col("dst")).alias("dst"), "edge_type")
+    e = cut(graph.prune_dangling(n, e).select("src", "dst", "edge_type").union(direct), "edges")
     n = graph.drop_orphans(n, e)
     return n, graph.canonical_pairs(e, ["ligand_similar"]).distinct()
 
@@ -189,6 +214,18 @@ def key_drift(rows: DataFrame) -> DataFrame:
     return d.groupBy("key").agg(F.countDistinct("text").alias("n_text"), F.sort_array(F.collect_set("source")).alias("sources")).where("n_text > 1")
 
 
+def drift_by_corpora(drift: DataFrame) -> DataFrame:
+    """(corpora, n_keys): how many keys each set of corpora writes for several texts. ``drift``: as from :func:`key_drift`."""
+    return drift.groupBy(F.array_join("sources", "+").alias("corpora")).agg(F.count(F.lit(1)).alias("n_keys"))
+
+
+def example_ghosts(edges: DataFrame) -> DataFrame:
+    """(source_id, target_id, ligand_id, n_examples) of triples that more than one example row states."""
+    end = lambda t, c: edges.where(F.col("edge_type") == t).select(F.col("src").alias("example"), F.col("dst").alias(c)).distinct()
+    x = end("example_has_ligand", "ligand_id").join(end("example_has_protein", "target_id"), "example").join(end("example_from_source", "source_id"), "example")
+    return x.groupBy("source_id", "target_id", "ligand_id").agg(F.count(F.lit(1)).alias("n_examples")).where("n_examples > 1")
+
+
 def prefix_drift(rows: DataFrame) -> DataFrame:
     """14-letter blocks that several whole keys share: (block, n_keys)."""
     d = rows.where("key is not null").select(F.substring("key", 1, 14).alias("block"), "key")
@@ -212,10 +249,11 @@ def dedup_side_table(side: DataFrame) -> DataFrame:
     return side.where(clean_id(F.col("example_id")).isNotNull()).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def validate_side_table(side: DataFrame, columns: list[str]) -> DataFrame:
-    """(problem, n): missing or extra columns, repeated or null ids, unknown sources."""
-    spark = side.sparkSession
-    shape = [(f"missing column {c}", 1) for c in columns if c not in side.columns] + [(f"extra column {c}", 1) for c in side.columns if c not in columns]
+def validate_side_table(side: DataFrame, schema: dict[str, str] = SIDE_TABLE) -> DataFrame:
+    """(problem, n): missing or extra columns, columns of another type, repeated or null ids, unknown sources."""
+    spark, types = side.sparkSession, dict(side.dtypes)
+    shape = [(f"missing column {c}", 1) for c in schema if c not in types] + [(f"extra column {c}", 1) for c in types if c not in schema]
+    shape += [(f"column {c} is {types[c]}, not {t}", 1) for c, t in schema.items() if c in types and types[c] != t]
     dup = side.groupBy("example_id").count().where("count > 1 and example_id is not null").agg(F.count(F.lit(1)).alias("n")).select(F.lit("repeated example_id").alias("problem"), "n")
     null = side.where("example_id is null").agg(F.count(F.lit(1)).alias("n")).select(F.lit("null example_id").alias("problem"), "n")
     odd = side.where(~F.coalesce(F.lower(strip(F.col("source"))).isin(SIDE_SOURCES), F.lit(False))).agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown source").alias("problem"), "n")
@@ -247,6 +285,45 @@ def trainset(manifest: DataFrame, examples: DataFrame) -> tuple[DataFrame, DataF
     return nodes, edges, m.join(known, "node_id", "left_anti")
 
 
+def resolve_manifest(manifest: DataFrame, id_map: DataFrame) -> DataFrame:
+    """Rows (model, source, identifier) of a manifest without example ids, with the example_id that ``id_map`` (source,
+    identifier, example_id) gives; null where it has none. Of several ids the least counts."""
+    one = id_map.where("example_id is not null").groupBy("source", "identifier").agg(F.min("example_id").alias("example_id"))
+    return manifest.select("model", "source", "identifier").join(one, ["source", "identifier"], "left").select("model", "source", "identifier", "example_id")
+
+
+def ingest_manifest(manifest: DataFrame, examples: DataFrame, id_map: DataFrame | None = None, model: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, unresolved) of a manifest by example_id or by (source, identifier); of one model where named."""
+    m = manifest
+    if "model" not in m.columns:
+        if model is None:
+            raise ValueError("a manifest without models needs a name")
+        m = m.withColumn("model", F.lit(model))
+    if model is not None:
+        m = m.where(F.col("model") == model)
+    if "example_id" not in m.columns:
+        if id_map is None:
+            raise ValueError("a manifest without example ids needs a map of identifiers")
+        if not {"source", "identifier"} <= set(m.columns):
+            raise ValueError("a manifest has example_id, or both source and identifier")
+        m = resolve_manifest(m, id_map)
+        nodes, edges, unknown = trainset(m.where("example_id is not null"), examples)
+        lost = m.where("example_id is null").select("model", F.concat_ws(":", "source", "identifier").alias("node_id"))
+        return nodes, edges, unknown.unionByName(lost.distinct())
+    return trainset(m, examples)
+
+
+def ingest_many(manifests: list[tuple[str, DataFrame]], examples: DataFrame, id_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, unresolved) of several manifests (model, rows), in one table each."""
+    parts = [ingest_manifest(m, examples, id_map, model) for model, m in manifests]
+    if not parts:
+        raise ValueError("no manifests")
+    out = parts[0]
+    for p in parts[1:]:
+        out = tuple(a.unionByName(b) for a, b in zip(out, p))
+    return out
+
+
 def merge_trainset(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adding the same trainset twice changes nothing."""
     fresh = new_nodes.join(nodes.select("node_id"), "node_id", "left_anti")

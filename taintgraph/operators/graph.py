@@ -29,9 +29,11 @@ def symmetrise(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_hop: int) -> DataFrame:
-    """(node_id, hop) of everything within ``max_hop`` of the seeds, which are at hop 0. No seeds give no rows."""
-    both = cut(symmetrise(edges), "both")
+def bfs(edges: DataFrame, seeds: DataFrame, max_hop: int, symmetric: bool = False) -> DataFrame:
+    """(node_id, hop) of everything within ``max_hop`` of the seeds, which are at hop 0. No seeds give no rows.
+
+    ``symmetric`` edges are stored in both directions already, for callers that search them more than once."""
+    both = edges if symmetric else cut(symmetrise(edges), "both")
     reached = cut(seeds.select("node_id").distinct().withColumn("hop", F.lit(0)), "reach")
     front = reached
     for hop in range(1, max_hop + 1):

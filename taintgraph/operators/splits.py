@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taintgraph.functions.stats import hash_rank
-from taintgraph.operators.graph import bfs
+from taintgraph.operators.build import rank_in_order
+from taintgraph.operators.graph import bfs, symmetrise
 from taintgraph.session import cut
 from taintgraph.vocab import AXES
 
@@ -26,6 +27,7 @@ class SplitContext:
     seed: int = 42
     test: float = 0.15
     val: float = 0.0
+    coarse: DataFrame | None = None  # scaffold, coarse: groups of scaffolds
 
 
 PROTOCOLS: dict[str, Callable[..., DataFrame]] = {}
@@ -106,8 +108,12 @@ def scaffold_split(ctx: SplitContext) -> DataFrame:
 
 
 @protocol("scaffold_generic")
-def scaffold_generic(ctx: SplitContext, coarse: DataFrame) -> DataFrame:
-    """``coarse``: scaffold -> coarser group, computed by the caller once per distinct scaffold (grp, coarse)."""
+def scaffold_generic(ctx: SplitContext, coarse: DataFrame | None = None) -> DataFrame:
+    """``coarse``: scaffold -> coarser group, computed by the caller once per distinct scaffold (grp, coarse); the
+    context's where none is given."""
+    coarse = coarse if coarse is not None else ctx.coarse
+    if coarse is None:
+        raise ValueError("scaffold_generic needs the groups of scaffolds")
     g = _scaffolds(ctx).join(coarse, "grp", "left").select("node_id", F.coalesce("coarse", "grp").alias("grp"))
     return group_split(ctx, g)
 
@@ -136,8 +142,8 @@ def _flip_loop(ctx: SplitContext, leaking: Callable[[DataFrame], DataFrame], max
 
 
 def _disjoint(ctx: SplitContext, hops: int, axes: list[str], max_iter: int) -> DataFrame:
-    e = ctx.edges.where(F.col("edge_type").isin(_types(axes)))
-    return _flip_loop(ctx, lambda s: bfs(e, s.where("fold = 'train'"), hops).where("hop > 0"), max_iter)
+    both = cut(symmetrise(ctx.edges.where(F.col("edge_type").isin(_types(axes)))), "both")  # once for all passes
+    return _flip_loop(ctx, lambda s: bfs(both, s.where("fold = 'train'"), hops, symmetric=True).where("hop > 0"), max_iter)
 
 
 @protocol("kg_kdisjoint")
@@ -159,10 +165,16 @@ def plinder_style(ctx: SplitContext, depth: int = 2, protein: bool = False) -> D
 
 
 @protocol("kg_axis_budget")
-def kg_axis_budget(ctx: SplitContext, budgets: dict[str, float] | None = None, hops: int = 2) -> DataFrame:
+def kg_axis_budget(ctx: SplitContext, budgets: dict[str, float] | None = None, hops: int = 2, **budget_of: float) -> DataFrame:
     """Axis by axis at most int(budget * n_test) test examples may lie within ``hops`` of train; the closest surplus is
-    moved (ties by id). Later axes see the test set that earlier ones left, so a budget may be exceeded in the end."""
-    budgets = budgets or {"ligand": 0.05, "scaffold": 0.05, "publication": 0.05, "assay": 0.05, "protein": 0.5}
+    moved (ties by id). Later axes see the test set that earlier ones left, so a budget may be exceeded in the end.
+    ``budget_<axis>`` changes one budget."""
+    budgets = dict(budgets or {"ligand": 0.05, "scaffold": 0.05, "publication": 0.05, "assay": 0.05, "protein": 0.5})
+    for name, v in budget_of.items():
+        axis = name.removeprefix("budget_")
+        if not name.startswith("budget_") or axis not in AXES:
+            raise TypeError(f"kg_axis_budget has no parameter {name!r}")
+        budgets[axis] = v
     split = cut(stratified_assign(ctx.examples.select("node_id", "label"), ["label"], ctx), "split")
     for axis in ("ligand", "scaffold", "publication", "assay", "protein"):
         if axis not in budgets:
@@ -174,7 +186,7 @@ def kg_axis_budget(ctx: SplitContext, budgets: dict[str, float] | None = None, h
         surplus = n_near - int(budgets[axis] * n_test)
         if surplus <= 0:
             continue
-        flip = near.orderBy("hop", "node_id").limit(surplus).select("node_id", F.lit(True).alias("flip"))
+        flip = rank_in_order(near, [], ["hop", "node_id"], "nth").where(F.col("nth") < surplus).select("node_id", F.lit(True).alias("flip"))
         split = cut(split.join(flip, "node_id", "left").select("node_id", "label", F.when(F.col("flip"), "train").otherwise(F.col("fold")).alias("fold")), "split")
     return _done(split)
 
@@ -255,7 +267,53 @@ def sweep(ctx: SplitContext, configs: list[tuple[str, dict]], out_dir: str, done
 
 #: the configurations of a full sweep
 SWEEP = [
-    ("random", {}), ("random_per_target", {}), ("scaffold", {}), ("protein_cluster", {"identity": "30"}), ("protein_cluster", {"identity": "90"}),
-    ("tanimoto_maxmin", {"T": 0.4}), ("kg_kdisjoint", {"K": 2, "axes": ("ligand", "scaffold")}), ("kg_kdisjoint", {"K": 2, "axes": ("ligand", "scaffold", "publication", "assay")}),
-    ("kg_maxmin", {"T": 3, "axes": ("ligand", "scaffold")}), ("kg_axis_budget", {}), ("plinder_style", {}), ("ave_wallach", {}), ("datasail", {}),
+    ("random", {}), ("random_per_target", {}), ("scaffold", {}), ("scaffold_generic", {}), ("tanimoto_maxmin", {"T": 0.4}),
+    ("protein_cluster", {"identity": "30"}), ("protein_cluster", {"identity": "50"}), ("protein_cluster", {"identity": "90"}),
+    ("kg_kdisjoint", {"K": 2, "axes": ("ligand", "scaffold")}), ("kg_kdisjoint", {"K": 2, "axes": ("ligand", "scaffold", "publication", "assay")}),
+    ("kg_maxmin", {"T": 3, "axes": ("ligand", "scaffold")}), ("kg_maxmin", {"T": 3, "axes": ("ligand", "scaffold", "publication", "assay")}),
+    ("kg_axis_budget", {"budget_assay": 1.0, "budget_publication": 1.0}), ("kg_axis_budget", {}),
 ]
+#: what names a row of a sweep's report
+AUDIT_KEY = ["corpus", "protocol", "params", "seed"]
+
+
+def stored_name(protocol: str, params: str, seed: int) -> str:
+    return f"{protocol}__{params}__seed{seed}"
+
+
+def parse_stored_name(name: str) -> tuple[str, str, int] | None:
+    """(protocol, params, seed), or None for a name of another form."""
+    part = name.split("__")
+    if len(part) != 3 or not part[2].startswith("seed") or not part[2][4:].lstrip("-").isdigit():
+        return None
+    return part[0], part[1], int(part[2][4:])
+
+
+def reaudit(spark, root: str, corpus: str, examples: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """Audits of all stored splits of a corpus (folders ``root/corpus/protocol__params__seedN``), without building them
+    again; folders of another name are passed over. None where there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{corpus}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    out = None
+    for f in sorted(str(x.getPath().getName()) for x in fs.listStatus(path)):
+        named = parse_stored_name(f)
+        if named is None:
+            continue
+        a = audit_split(spark.read.parquet(f"{root}/{corpus}/{f}").select("node_id", "fold"), examples, edges)
+        a = a.withColumns(dict(zip(AUDIT_KEY, map(F.lit, (corpus, *named)))))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+def merge_audits(parts: list[DataFrame]) -> DataFrame:
+    """One report of several; of rows for one split, that of the last report counts, also where reports differ in columns."""
+    if not parts:
+        raise ValueError("no reports to merge")
+    x = None
+    for k, p in enumerate(parts):
+        p = p.withColumn("__part", F.lit(k))
+        x = p if x is None else x.unionByName(p, allowMissingColumns=True)
+    rest = [c for c in x.columns if c not in AUDIT_KEY and c != "__part"]
+    return x.groupBy(*AUDIT_KEY).agg(F.max_by(F.struct(*rest), "__part").alias("x")).select(*AUDIT_KEY, "x.*")

@@ -54,6 +54,35 @@ def run_all(tasks: Iterable[tuple[str, Callable[[], object], str | None]], spark
     return status, int(bool(status.todo))
 
 
+def run_waves(waves: Iterable[list[tuple[str, Callable[[], object], str | None]]], spark: SparkSession, at_once: int = 4) -> tuple[Status, int]:
+    """Waves of steps: the steps of a wave run side by side on the one session, whose scheduler shares the executors among
+    them; a wave begins when the one before has ended. A failing step stops nothing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    status = Status()
+    for wave in waves:
+        with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(wave)))) as pool:
+            list(pool.map(lambda t: run_task(status, t[0], t[1], t[2], spark), wave))
+    return status, int(bool(status.todo))
+
+
+def sweep_corpora(spark: SparkSession, contexts: dict[str, splits.SplitContext], waves: list[list[str]], out: str, configs: list[tuple[str, dict]] = splits.SWEEP) -> tuple[Status, int]:
+    """Build and store every configuration's split for every corpus, corpora in waves: ``out/corpus/protocol__params__seedN``.
+    What is stored already is skipped."""
+
+    def one(corpus: str, name: str, params: dict, path: str) -> Callable[[], None]:
+        def task() -> None:
+            splits.build_split(name, contexts[corpus], **params).write.mode("overwrite").parquet(path)
+
+        return task
+
+    def tasks(corpus: str) -> list[tuple[str, Callable[[], object], str | None]]:
+        paths = [(n, p, f"{out}/{corpus}/{splits.stored_name(n, splits.param_string(p), contexts[corpus].seed)}") for n, p in configs]
+        return [(f"{corpus}/{path.rsplit('/', 1)[1]}", one(corpus, n, p, path), path) for n, p, path in paths]
+
+    return run_waves([[t for c in wave for t in tasks(c)] for wave in waves], spark)
+
+
 def build_graph(spark: SparkSession, raw_nodes: DataFrame, raw_edges: DataFrame, out: str, clusters: DataFrame | None = None) -> tuple[Status, int]:
     """Raw to canonical graph on disk: nodes, edges by type, size report; invariants are checked on what was written."""
 

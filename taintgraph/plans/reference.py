@@ -152,7 +152,7 @@ _ACC = r"upper(regexp_extract(node_id, '^(?:tgt:.*|protein):([^:]+)$', 1))"
 
 
 @query(
-    f"""select new_id as node_id, count(*) as n from (select distinct node_id, case when regexp_matches({_ACC}, '^[A-Z][0-9][A-Z0-9]{{3}}[0-9]([A-Z0-9]{{4}})?$')
+    f"""select new_id as node_id, count(*) as n from (select distinct node_id, case when regexp_matches({_ACC}, '^([OPQ][0-9][A-Z0-9]{{3}}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{{2}}[0-9]){{1,2}})$')
  then 'protein:' || lower({_ACC}) else node_id end new_id from {_RAW_NODES} where node_type = 'Protein') group by 1"""
 )
 def protein_collapse(spark, sf):
@@ -333,7 +333,7 @@ def build_invariants(spark, sf):
 
 def _nid(c: str) -> str:
     acc = f"upper(regexp_extract({c}, '^(?:tgt:.*|protein):([^:]+)$', 1))"
-    return f"case when regexp_matches({acc}, '^[A-Z][0-9][A-Z0-9]{{3}}[0-9]([A-Z0-9]{{4}})?$') then 'protein:' || lower({acc}) else {c} end"
+    return f"case when regexp_matches({acc}, '^([OPQ][0-9][A-Z0-9]{{3}}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{{2}}[0-9]){{1,2}})$') then 'protein:' || lower({acc}) else {c} end"
 
 
 @query(
@@ -967,7 +967,7 @@ select 'unknown source', count(*) from side_table where coalesce(lower(trim(sour
 )
 def side_table_validation(spark, sf):
     s = table(spark, sf, "side_table")
-    return build.validate_side_table(s, s.columns)
+    return build.validate_side_table(s)
 
 
 @query(f"select distinct {kg.sql_id('example_id')} as key from trainset_manifest where {kg.sql_id('example_id')} is not null and {kg.sql_id('example_id')} not in (select {kg.sql_id('example_id')} from side_table where {kg.sql_id('example_id')} is not null)")
@@ -1180,7 +1180,7 @@ def stats_table(spark, sf):
 
 @query(
     kg.sql(
-        """, acc as (select node_id, case when regexp_matches(upper(regexp_extract(node_id, '^(?:tgt:.*|protein):([^:]+)$', 1)), '^[A-Z][0-9][A-Z0-9]{3}[0-9]([A-Z0-9]{4})?$')
+        """, acc as (select node_id, case when regexp_matches(upper(regexp_extract(node_id, '^(?:tgt:.*|protein):([^:]+)$', 1)), '^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})$')
  then 'protein:' || lower(regexp_extract(node_id, '^(?:tgt:.*|protein):([^:]+)$', 1)) else node_id end nid from (select src node_id from edges union select dst from edges))
 select s.nid as src, d.nid as dst, edge_type from edges e join acc s on s.node_id = e.src join acc d on d.node_id = e.dst where edge_type in ('example_has_protein', 'protein_in_cluster')"""
     )

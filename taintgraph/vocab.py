@@ -38,16 +38,6 @@ HORIZON_AXES = {
     "all": AXES_WITH_FULL["full"],
 }
 
-#: axes as the schema declares them (fixed values)
-SCHEMA_AXES = {
-    "ligand": ["example_has_ligand", "ligand_exact", "ligand_parent_exact", "ligand_fingerprint_exact", "ligand_similar"],
-    "scaffold": ["example_has_ligand", "ligand_scaffold"],
-    "protein": ["example_has_protein", "protein_exact", "protein_in_cluster"],
-    "assay": ["example_from_assay", "example_from_publication"],
-    "source": ["example_from_source", "source_decoy_protocol"],
-    "time": ["example_has_timebin", "time_overlap"],
-}
-
 #: raw edge type -> canonical edge type, where they differ (fixed values)
 EDGE_TYPE = {
     "example_targets_protein": "example_has_protein",
@@ -58,27 +48,21 @@ EDGE_TYPE = {
     "example_uses_decoy_protocol": "source_decoy_protocol",
 }
 
-#: default leak weights (fixed values)
-LEAK_WEIGHT = {
-    "example_has_ligand": 1.00,
-    "ligand_exact": 1.00,
-    "ligand_parent_exact": 0.95,
-    "ligand_fingerprint_exact": 0.95,
-    "ligand_scaffold": 0.70,
-    "ligand_similar": 0.65,
-    "example_has_protein": 1.00,
-    "protein_exact": 1.00,
-    "protein_cluster_90": 0.85,
-    "protein_cluster_40": 0.60,
-    "protein_cluster_30": 0.45,
-    "example_from_assay": 0.75,
-    "example_from_publication": 0.55,
-    "example_from_source": 0.35,
-    "source_decoy_protocol": 0.50,
-    "time_overlap": 0.40,
-    "example_in_trainset": 1.00,
-    "example_has_timebin": 1.00,
-}
+#: canonical edge types beside those that raw ones become (fixed values)
+OWN_EDGE_TYPE = ["example_from_assay", "example_from_publication", "example_from_source", "example_has_ligand", "example_has_timebin", "example_in_trainset", "ligand_fingerprint_exact", "protein_exact", "protein_in_cluster", "time_overlap"]
+
+#: names of the reference layers (fixed values)
+REFERENCE_A = {"source": "ChEMBL35", "release": "ChEMBL_35"}
+REFERENCE_B = {"source": "BindingDB202605", "release": "BindingDB_2026_05"}
+
+#: accessions of proteins (public format)
+ACCESSION = r"^(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})$"
+
+#: columns of the side table (fixed values)
+SIDE_TABLE = {
+    "example_id": "string", "source": "string", "source_id": "string", "smiles": "string", "smiles_canonical": "string", "inchikey": "string", "uniprot": "string", "target_sequence": "string",
+    "target_sequence_saprot": "string", "pdb_id": "string", "chembl_id": "string", "bindingdb_id": "string", "assay_id": "string", "label": "double", "label_kind": "string",
+}
 
 #: degree above which a node is flagged as a hub (fixed value)
 HUB_DEGREE = 1000

@@ -41,8 +41,8 @@ def test_hydration_trainsets_and_upsert(spark):
     rows, missing = build.hydrate(spark.createDataFrame([("a:1",), ("A:1 ",), ("z:9",), (None,), (" ",)], "example_id string"), side)
     assert rows.count() == 1 and [r["key"] for r in missing.collect()] == ["z:9"]
     assert build.coverage(rows, missing).first()["coverage"] == 0.5
-    v = {r["problem"]: r["n"] for r in build.validate_side_table(side, ["example_id", "source", "target"]).collect()}
-    assert v["unknown source"] == 1 and v["null example_id"] == 1 and v["missing column target"] == 1 and v["extra column label"] == 1
+    v = {r["problem"]: r["n"] for r in build.validate_side_table(side, {"example_id": "string", "source": "int", "target": "string"}).collect()}
+    assert v["unknown source"] == 1 and v["null example_id"] == 1 and v["missing column target"] == 1 and v["extra column label"] == 1 and v["column source is string, not int"] == 1
     m = spark.createDataFrame([("m", "a"), ("m", "a"), ("m", "q"), ("m", None)], "model string, example_id string")
     ex = spark.createDataFrame([("ex:a",)], "node_id string")
     n, e, un = build.trainset(m, ex)
@@ -77,8 +77,9 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "aa2ar" / "actives.smi").write_text("# head\nCCO a1 x extra\n\n  CCC\tZINC9\nCCN\n")
     x = readers.read_smi(spark, str(tmp_path / "aa2ar" / "actives.smi"), "dude", "aa2ar", 1, "active")
     assert [(r["smiles_input"], r["ext_id_1"], r["ext_id_2"]) for r in x.collect()] == [("CCO", "a1", "x"), ("CCC", "ZINC9", None), ("CCN", None, None)]
-    t = readers.read_targets(spark, str(tmp_path), "*.smi", "dude", {"actives": 1})
-    assert {(r["target"], r["label"]) for r in t.collect()} == {("aa2ar", 1)}
+    (tmp_path / "aa2ar" / "inactives.smi").write_text("")
+    t = readers.read_corpus(spark, str(tmp_path), "LIT-PCBA")
+    assert {(r["target"], r["label"], r["label_type"], r["split"], r["source_file"]) for r in t.collect()} == {("aa2ar", 1, "active", "unknown", "actives.smi")} and t.count() == 3
     (tmp_path / "a.csv").write_text("uniprot,lig_smiles,standard_value,odd\nP1,CC,1.5,z\nP2,CN,bad,z\n")
     assert [(r["lig_smiles"], r["standard_value"], r["active"]) for r in readers.read_activities_csv(spark, str(tmp_path / "a.csv")).collect()] == [("CC", 1.5, None), ("CN", None, None)]
     (tmp_path / "w.tsv").write_text("A\tB\tC\n1\t2\t3\nshort\n4\t5\t6\n")
@@ -90,7 +91,7 @@ def test_readers_and_sinks(spark, tmp_path):
         readers.read_manifest(spark, "a.xml")
     e = spark.createDataFrame([("a", "b", "s"), ("a", "c", "t")], "src string, dst string, edge_type string")
     sinks.write_edges(e, str(tmp_path / "e"))
-    sinks.replace_edge_types(spark.createDataFrame([("x", "y", "s")], e.schema), str(tmp_path / "e"))
+    sinks.replace_edge_types(spark.createDataFrame([("x", "y", "s")], e.schema), str(tmp_path / "e"), ["s"])
     assert {(r["src"], r["edge_type"]) for r in spark.read.parquet(str(tmp_path / "e")).collect()} == {("x", "s"), ("a", "t")}
     k = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     sinks.upsert_csv(k, str(tmp_path / "r"), ["k"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from taintgraph.llm import encoding, leakage, residue
@@ -80,6 +81,37 @@ def test_leaks_within_edits(spark):
     assert leaked(spark, docs, [(7, item)], edits=2, q=8, min_chars=60) == {(1, 7), (3, 7)}
 
 
+def test_alignment_on_one_diagonal_counts_whole_words():
+    at = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    rnd = random.Random(11)
+    for _ in range(400):
+        a, b = (" ".join(rnd.choice(["a", "ab", "abc", "b", "試"]) for _ in range(rnd.randint(1, 9))) for _ in range(2))
+        wa, wb = a.split(" "), b.split(" ")
+        runs = {tuple(wa[i:j]) for i in range(len(wa)) for j in range(i + 1, len(wa) + 1)} & {tuple(wb[i:j]) for i in range(len(wb)) for j in range(i + 1, len(wb) + 1)}
+        got = max(leakage.shared_words(at(a), at(b), d) for d in range(-len(a), len(b) + 1))
+        assert got == max(map(len, runs), default=0), (a, b)
+
+
+def test_windows_within_edits_against_brute_force():
+    at = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    rnd = random.Random(12)
+    for _ in range(150):
+        item, doc = ("".join(rnd.choice("ab") for _ in range(rnd.randint(4, 9))) for _ in range(2))
+        k, size = rnd.choice([1, 2]), 4
+        want = any(lev(item[i : i + size], doc[s:e]) <= k for i in range(len(item) - size + 1) for s in range(len(doc) + 1) for e in range(s, len(doc) + 1))
+        assert leakage.window_within(at(item), at(doc), -len(item), len(doc), size, k) == want, (item, doc, k)
+
+
 EVIDENCE = [
     "TODO: write this section", "Sample text goes here.", "Your introduction here. Two or three sentences.", "Texte à compléter par l'auteur.", "Escriba aquí la descripción del ensayo.", "[Abstract goes here]",
     "Lorem ipsum amet sit nostrud eiusmod tempor.", "text text text text text", "xxx xxx xxx xxx", "404 Not Found", "Plates were read. Oops! Plates again.", "Traceback (most recent call last):\n  File \"a.py\", line 3", "Access denied.",

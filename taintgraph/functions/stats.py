@@ -1,7 +1,7 @@
 """Rank statistics as aggregates: AUROC with mid-ranks, bootstrap intervals, tests of a difference.
 
 Scores are first summed per distinct score. Ranks come from bucket sums and positions within a bucket, so that no
-window spans a whole group; ``buckets`` bounds the rows that a group's outer window sees."""
+window spans a whole group."""
 
 from __future__ import annotations
 
@@ -9,17 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def auroc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", weight: str | None = None, buckets: int = 1024) -> DataFrame:
+def score_bucket(s: Column, per_octave: int = 1024) -> Column:
+    """A number that never falls as ``s`` grows: ``per_octave`` buckets between a power of two and the next, on either side
+    of zero, so that scores of any scale spread over many buckets. NaN comes last."""
+    size = F.least(F.greatest(F.abs(s), F.lit(1e-300)), F.lit(1e300))
+    octave = F.floor(F.log2(size))
+    place = (octave + 1100) * per_octave + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * per_octave)
+    return F.when(F.isnan(s), F.lit(1 << 40)).when(s == 0, 0).when(s > 0, place).otherwise(-place).cast("long")
+
+
+def auroc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
     """keys + (auroc, n_pos, n_neg); Mann-Whitney with ties at half. NaN when a class is missing.
 
-    Scores are expected in [0, 1]; others fall into the first or last bucket and only make it larger. Rows with a null
-    score or a label other than 0 and 1 are left out. ``weight``: column of integer row weights."""
+    Scores may be of any scale. Rows with a null score or a label other than 0 and 1 are left out. ``weight``: column of integer row weights."""
     w = F.col(weight) if weight else F.lit(1)
     d = df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1))
     per = d.groupBy(*keys, F.col(score).alias("s")).agg(
         F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("n")
     )
-    per = per.withColumn("b", F.least(F.greatest(F.floor(F.col("s") * buckets), F.lit(0)), F.lit(buckets)).cast("int"))
+    per = per.withColumn("b", score_bucket(F.col("s").cast("double")))
     sums = per.groupBy(*keys, "b").agg(F.sum("n").alias("bn"))
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("below", F.coalesce(F.sum("bn").over(before), F.lit(0))).drop("bn")

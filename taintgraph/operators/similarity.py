@@ -73,14 +73,37 @@ def fingerprint_classes(rows: DataFrame, key: str, bits: str) -> DataFrame:
     return rows.join(low, bits).select(key, "class_key")
 
 
-def max_similarity(queries: DataFrame, refs: DataFrame) -> DataFrame:
+def max_similarity(queries: DataFrame, refs: DataFrame, others_only: bool = False, ladder: tuple[float, ...] = (0.8, 0.6, 0.4, 0.2, 0.0)) -> DataFrame:
     """(key, best): the highest Tanimoto of each query to any reference, -1.0 for a query without bits; both frames
-    are (key, bits). Pairs meet on a shared bit; a query that shares none has 0.0."""
+    are (key, bits). A query that shares no bit with any has 0.0. ``others_only``: a query's own row is no reference.
+
+    Thresholds go down a ladder. At a step two sets meet only on the bits by which sets at that threshold must meet (the
+    rarest of either) and within the sizes it allows; a query whose best reaches the threshold is done, as no pair above
+    it was left out. What few queries remain at the end meet every set they share a bit with."""
+    classes = cut(refs.where("size(bits) > 0").groupBy("bits").agg(F.min("key").alias("rk"), F.count(F.lit(1)).alias("copies")), "classes")
+    posts = classes.select("rk", "copies", F.size("bits").alias("m"), F.explode("bits").alias("bit"))
+    df = cut(posts.groupBy("bit").agg(F.count(F.lit(1)).alias("df")), "bits")
+    by_rarity = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("df", "bit"))
+    r = cut(posts.join(df, "bit").withColumn("rn", by_rarity("rk")).drop("df"), "posts")
     q = queries.where("size(bits) > 0").select("key", F.size("bits").alias("n"), F.explode("bits").alias("bit"))
-    r = refs.where("size(bits) > 0").groupBy("bits").agg(F.min("key").alias("rk")).select("rk", F.size("bits").alias("m"), F.explode("bits").alias("bit"))
-    s = q.join(r, "bit").groupBy("key", "rk", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
-    best = s.groupBy("key").agg(F.max(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("best"))
-    return queries.select("key", "bits").join(best, "key", "left").select("key", F.when(F.size("bits") == 0, -1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("best"))
+    q = cut(q.join(df, "bit", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("qn", by_rarity("key")).drop("df"), "asked")
+    done, left = None, q
+    for step in ladder:
+        t = Fraction(str(step))
+        met = left.where(F.col("qn") <= F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator) + 1).join(
+            r.where(F.col("rn") <= F.col("m") - F.ceil(F.col("m") * t.numerator / t.denominator) + 1), "bit"
+        )
+        met = met.where((F.least("n", "m") * t.denominator >= F.greatest("n", "m") * t.numerator))
+        if others_only:
+            met = met.where("key <> rk or copies > 1")
+        pairs = met.select("key", "rk").distinct()
+        x = pairs.join(queries.select("key", F.col("bits").alias("qb")), "key").join(classes.select("rk", F.col("bits").alias("rb")), "rk")
+        best = cut(x.groupBy("key").agg(F.max(tanimoto(F.col("qb"), F.col("rb"))).alias("best")).where(F.col("best") >= step), "best")
+        done = best if done is None else done.union(best)
+        left = cut(left.join(best.select("key"), "key", "left_anti"), "asked")
+        if not left.limit(1).count():
+            break
+    return queries.select("key", "bits").join(done, "key", "left").select("key", F.when(F.size("bits") == 0, -1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("best"))
 
 
 def pair_counts(pairs: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from taintgraph.functions.stats import hash_rank
 from taintgraph.operators.build import rank_in_order
 from taintgraph.operators.graph import bfs, symmetrise
-from taintgraph.session import cut
+from taintgraph.session import cut, discard
 from taintgraph.vocab import AXES
 
 
@@ -127,7 +127,7 @@ def protein_cluster(ctx: SplitContext, identity: str = "30") -> DataFrame:
 
 def _flip_loop(ctx: SplitContext, leaking: Callable[[DataFrame], DataFrame], max_iter: int) -> DataFrame:
     """``leaking(split)`` gives node_id of test examples that leak; they move to train until none does."""
-    split = cut(stratified_assign(ctx.examples.select("node_id", "label"), ["label"], ctx), "split")
+    split = before = cut(stratified_assign(ctx.examples.select("node_id", "label"), ["label"], ctx), "split")
     for _ in range(max_iter):
         flip = leaking(split).select("node_id").distinct().withColumn("flip", F.lit(True))
         nxt = cut(
@@ -135,7 +135,8 @@ def _flip_loop(ctx: SplitContext, leaking: Callable[[DataFrame], DataFrame], max
             "split",
         )
         moved = nxt.where("moved").limit(1).count()
-        split = nxt.drop("moved")
+        discard(before)
+        before, split = nxt, nxt.drop("moved")
         if not moved:
             break
     return _done(split)

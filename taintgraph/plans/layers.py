@@ -15,7 +15,7 @@ from taintgraph.functions.text import accession, clean_id, strip
 from taintgraph.operators import build, layers, side_table, similarity, splits
 from taintgraph.plans import kg
 from taintgraph.session import cut, shared_dir, table
-from taintgraph.sources import readers, sinks
+from taintgraph.sources import readers, reference_db, sinks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -426,6 +426,66 @@ def example_ghosts(spark, sf):
     return build.example_ghosts(kg.edges(spark, sf))
 
 
+# -- a reference database whose tables are cut from the test tables -------------------------------------------------------
+def _db(spark: SparkSession, sf: str):
+    a, d, s = table(spark, sf, "activities").distinct(), table(spark, sf, "documents"), table(spark, sf, "side_table")
+    none = F.lit(None).cast("string")
+    acc = s.select(accession(s["uniprot"]).alias("accession"), "target_sequence").where("accession is not null").groupBy("accession").agg(F.min("target_sequence").alias("sequence"))
+    mol = a.select("molregno").distinct()
+    tables = {
+        "molecule_dictionary": lambda: mol.select("molregno", F.concat(F.lit("CHEMBL"), F.col("molregno").cast("string")).alias("chembl_id"), none.alias("pref_name"), none.alias("max_phase")),
+        "compound_structures": lambda: a.where("molregno % 5 <> 0").groupBy("molregno").agg(F.min(_given(F.col("lig_smiles"))).alias("canonical_smiles")).withColumn("standard_inchi_key", F.md5("canonical_smiles")),
+        "activities": lambda: a,
+        "assays": lambda: a.groupBy("assay_id").agg(F.min("doc_id").alias("doc_id"), F.min(F.col("assay_id") % 10).alias("tid")).select("assay_id", F.concat(F.lit("A"), F.col("assay_id").cast("string")).alias("chembl_id"), none.alias("assay_type"), none.alias("description"), "doc_id", "tid"),
+        "docs": lambda: d.select("doc_id", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("chembl_id"), none.alias("pubmed_id"), none.alias("doi"), F.year("added_at").alias("year"), F.col("source").alias("journal"), none.alias("title")),
+        "target_dictionary": lambda: acc.select(F.col("accession").alias("tid"), F.concat(F.lit("T"), F.col("accession")).alias("chembl_id"), none.alias("pref_name"), F.lit("SINGLE PROTEIN").alias("target_type"), none.alias("organism")),
+        "target_components": lambda: acc.select(F.col("accession").alias("tid"), F.concat(F.lit("c"), F.col("accession")).alias("component_id")),
+        "component_sequences": lambda: acc.select(F.concat(F.lit("c"), F.col("accession")).alias("component_id"), "accession", "sequence", F.when(F.substring("accession", 1, 1) < "Q", "PROTEIN").otherwise("DNA").alias("component_type"), none.alias("organism"), none.alias("description")),
+    }
+    return lambda name: tables[name]()
+
+
+@query(f"""with a as (select distinct * from activities), s as (select molregno, min({_T('lig_smiles')}) smi from a where molregno % 5 <> 0 group by 1)
+select m.molregno, 'CHEMBL' || m.molregno as molecule_chembl_id, s.smi as canonical_smiles from (select distinct molregno from a) m left join s on s.molregno = m.molregno""")
+def db_ligands(spark, sf):
+    return reference_db.ligands(_db(spark, sf)).select("molregno", "molecule_chembl_id", "canonical_smiles")
+
+
+@query(f"""with t as (select {_ACC.format('uniprot')} acc, min(target_sequence) seq from side_table where {_ACC.format('uniprot')} is not null group by 1)
+select acc as tid, 'T' || acc as target_chembl_id, acc as accession, seq as sequence from t where seq is not null and substr(acc, 1, 1) < 'Q'""")
+def db_target_sequences(spark, sf):
+    return reference_db.target_sequences(_db(spark, sf)).select("tid", "target_chembl_id", "accession", "sequence")
+
+
+@query(f"""with a as (select distinct * from activities), s as (select molregno from a where molregno % 5 <> 0 group by 1 having min({_T('lig_smiles')}) is not null)
+select activity_id, molregno, assay_id, standard_type, doc_id from a where molregno in (select molregno from s)""")
+def db_activities(spark, sf):
+    read = _db(spark, sf)
+    return reference_db.activities_of(read, reference_db.ligands(read).where("canonical_smiles is not null")).select("activity_id", "molregno", "assay_id", "standard_type", "doc_id")
+
+
+@query("""select a.assay_id, 'A' || a.assay_id as assay_chembl_id, d.document_chembl_id, d.year from (select assay_id, min(doc_id) doc_id from activities group by 1) a
+left join (select doc_id, 'D' || doc_id as document_chembl_id, year(added_at) as year from documents) d on d.doc_id = a.doc_id""")
+def db_assay_documents(spark, sf):
+    read = _db(spark, sf)
+    return reference_db.assays(read).join(reference_db.documents(read), "doc_id", "left").select("assay_id", "assay_chembl_id", "document_chembl_id", "year")
+
+
+@query(f"""with x as (select {_T('smiles')} smi, md5({_T('smiles')}) ik, {_T('assay_id')} pmid, {kg.sql_id('example_id')} k from side_table where {kg.sql_id('example_id')} is not null and {_T('smiles')} is not null and not regexp_matches({_T('smiles')}, '[\n\r\t]'))
+select ik as ligand_inchikey, min(smi) as ligand_smiles, count(*) as n_records, count(pmid) as n_pmid from x group by 1""")
+def binding_table(spark, sf):
+    """A wide table with known and unknown columns in another order, and lines that end early."""
+    s, path = table(spark, sf, "side_table"), _place(spark)
+    x = s.select(clean_id(s["example_id"]).alias("k"), _given(s["smiles"]).alias("smi"), _given(s["assay_id"]).alias("pmid")).where("k is not null and smi is not null")
+    x = x.where(~F.col("smi").rlike("[\n\r\t]"))
+    head = spark.createDataFrame([("odd\tPMID\tLigand InChI Key\tLigand SMILES\tmore",), ("x\t1\tshort",)], "value string")
+    line = x.select(F.concat_ws("\t", F.lit("-"), F.coalesce("pmid", F.lit("")), F.md5("smi"), "smi").alias("value"))
+    head.union(line).coalesce(1).write.text(path)
+    rec, lig = reference_db.binding_records(spark, path)
+    n = rec.groupBy("ligand_inchikey").agg(F.count(F.lit(1)).alias("n_records"), F.count("pmid").alias("n_pmid"))
+    return lig.join(n, "ligand_inchikey").select("ligand_inchikey", "ligand_smiles", "n_records", "n_pmid")
+
+
 # -- sources and sinks: written to the shared folder and read again --------------------------------------------------------
 def _place(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
@@ -453,6 +513,37 @@ def wide_tsv_projection(spark, sf):
     return readers.first_seen(got, "k", "assay_id").join(n, "k").select("k", F.col("assay_id").alias("first_assay"), "n")
 
 
+def _put(spark: SparkSession, path: str, body: str) -> None:
+    """One small file of a given name."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(jpath)
+    out.write(bytearray(body.encode("utf-8")))
+    out.close()
+
+
+@query("""select r_name as target, case when n_nationkey % 2 = 1 then 1 else 0 end as label, case when n_nationkey % 2 = 1 then 'active' else 'inactive' end as label_type,
+ case when n_nationkey % 3 = 0 then 'validation' else 'train' end as split, 'C' || n_nationkey as smiles_input, 'n' || n_nationkey as ext_id_1 from nation join region on n_regionkey = r_regionkey""")
+def corpus_files(spark, sf):
+    """A corpus of files by target folder, label and split by file name; an empty file beside them."""
+    root = _place(spark)
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_nationkey").collect()  # fixed tables of 25 and 5 rows
+    files: dict[str, list[str]] = {"NONE/active_T.smi": []}
+    for r in rows:
+        name = ("active" if r["n_nationkey"] % 2 else "inactive") + ("_V" if r["n_nationkey"] % 3 == 0 else "_T") + ".smi"
+        files.setdefault(f"{r['r_name']}/{name}", []).append(f"C{r['n_nationkey']} n{r['n_nationkey']}\n")
+    for name, lines in files.items():
+        _put(spark, f"{root}/{name}", "".join(lines))
+    return readers.read_corpus(spark, root, "LIT-PCBA-AVE").select("target", F.col("label").cast("int").alias("label"), "label_type", "split", "smiles_input", "ext_id_1")
+
+
+@query(f"select {_T('smiles_canonical')} as text, count(*) as n from side_table where {_T('smiles_canonical')} is not null group by 1")
+def text_by_schema(spark, sf):
+    """The column of structures, chosen from the schema alone."""
+    s = table(spark, sf, "side_table").select(F.col("smiles_canonical").alias("canonical_smiles"), "label")
+    c = readers.text_column(s)
+    return s.select(_given(s[c]).alias("text")).where("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select n_nationkey::varchar as key, n_name as name from nation")
 def headerless_tsv(spark, sf):
     path = _place(spark)

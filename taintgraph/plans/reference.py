@@ -945,12 +945,7 @@ def max_similarity_to_set(spark, sf):
     e = table(spark, sf, "embeddings")
     bits = F.filter(F.transform("embedding", lambda v, i: F.when(v > 0, i)), lambda x: x.isNotNull())
     x = e.select(F.col("vec_id").alias("key"), bits.alias("bits"))
-    q = x.where("key % 20 = 0")
-    qs = q.select("key", F.size("bits").alias("n"), F.explode("bits").alias("bit"))
-    rs = x.select(F.col("key").alias("rk"), F.size("bits").alias("m"), F.explode("bits").alias("bit"))
-    s = qs.join(rs, "bit").where("key <> rk").groupBy("key", "rk", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    best = s.groupBy("key").agg(F.max(F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("best"))
-    return q.join(best, "key", "left").select("key", F.when(F.size("bits") == 0, -1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("best"))
+    return similarity.max_similarity(x.where("key % 20 = 0"), x, others_only=True)
 
 
 # -- side table, trainsets, hydration --------------------------------------------------------------------------------

@@ -50,9 +50,28 @@ def _drop_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    """The application's folder goes with the application: what was written there serves its own results only."""
+    root = shared_dir(spark)
+    if root in _OWN:
+        return
+    _OWN[root] = root
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # noqa: BLE001  the session's process may have ended first
+            pass
+
+    atexit.register(drop)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, a lost executor costs nothing
     before this point, and the planner gets true sizes for what follows."""
+    _drop_at_exit(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)

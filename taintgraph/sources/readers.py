@@ -48,11 +48,17 @@ def read_tsv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def read_wide_tsv(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFrame:
-    """Named columns of a wide TSV (header name -> new name); lines that are too short are skipped."""
-    head = spark.read.option("sep", "\t").option("header", True).csv(path).columns
+    """Named columns of a wide TSV (header name -> new name), as far as it has them; empty cells are null, and lines that
+    end before the last wanted column are skipped."""
+    head = spark.read.text(path).first()
+    names = head[0].split("\t") if head is not None else []
+    at = {n: names.index(c) for c, n in wanted.items() if c in names}
     cells = F.split("value", "\t", -1)
-    rows = spark.read.text(path).where(F.col("value") != "\t".join(head)).withColumn("cells", cells).where(F.size("cells") >= len(head))
-    return rows.select(*[F.nullif(F.col("cells")[head.index(c)], F.lit("")).alias(n) for c, n in wanted.items()])
+    rows = spark.read.text(path)
+    if not at:
+        return rows.where("false").select()
+    rows = rows.where(F.col("value") != head[0]).withColumn("cells", cells).where(F.size("cells") > max(at.values()))
+    return rows.select(*[F.nullif(F.col("cells")[i], F.lit("")).alias(n) for n, i in at.items()])
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:

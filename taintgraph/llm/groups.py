@@ -32,40 +32,30 @@ def _print(e: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def peel_giant(edges: DataFrame, hops_per_round: int = 3, max_rounds: int = 6, min_growth: float = 0.05) -> tuple[DataFrame, DataFrame, str | None]:
+def peel_giant(edges: DataFrame, max_hops: int = 18, min_growth: float = 0.05) -> tuple[DataFrame, DataFrame, str | None]:
     """(edges without the giant, giant's vertices (v), its smallest id).
 
-    ``edges``: distinct a < b. A round expands the frontier ``hops_per_round`` times in one job. Rounds end when the
-    frontier is empty, when a round adds less than ``min_growth`` of what was reached, or after ``max_rounds``; then
+    ``edges``: distinct a < b. A hop joins the frontier with the edges and takes off the last two frontiers: neighbours of
+    a level lie in it, in the one before or in the next, so nothing else can have been reached already. Hops end when the frontier is empty,
+    when three of them added less than ``min_growth`` of what was reached, or after ``max_hops``; then
     the reached vertices become one vertex under their smallest id, and their open edges stay in the list."""
     spark = edges.sparkSession
     both = _both_ways(edges)
     hub = both.groupBy("a").agg(F.count(F.lit(1)).alias("deg")).agg(F.max_by("a", F.struct("deg", F.col("a"))).alias("v"), F.max("deg").alias("deg")).first()
     if hub["v"] is None:
         return edges, spark.createDataFrame([], "v string"), None
-    seen = spark.createDataFrame([(hub["v"],)], "v string")
-    parts, front, total, done = [seen], seen, 1, False
-    for _ in range(max_rounds):
-        step, reached = front, []
-        for _ in range(hops_per_round):
-            step = both.join(step.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
-            reached.append(step)
-        near = reached[0]
-        for r in reached[1:-1]:
-            near = near.union(r)
-        tagged = near.withColumn("last", F.lit(0)).union(reached[-1].withColumn("last", F.lit(1)))
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.union(p)
-        new = cut(tagged.groupBy("v").agg(F.min("last").alias("last")).join(known, "v", "left_anti"), "frontier")
-        n = new.agg(F.count(F.lit(1)).alias("n"), F.sum("last").alias("open")).first()
-        parts.append(new.select("v"))
-        total += n["n"]
-        if not n["open"]:
+    front = spark.createDataFrame([(hub["v"],)], "v string")
+    parts, last, added, done = [front], front, [1], False
+    for _ in range(max_hops):
+        step = both.join(front.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
+        new = cut(step.join(last, "v", "left_anti"), "frontier")
+        added.append(new.count())
+        parts.append(new)
+        if not added[-1]:
             done = True
             break
-        front = new.where("last = 1").select("v")
-        if n["n"] < min_growth * total:
+        last, front = front.union(new), new
+        if len(added) > 3 and sum(added[-3:]) < min_growth * sum(added):
             break
     seen = parts[0]
     for p in parts[1:]:

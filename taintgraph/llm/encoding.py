@@ -131,7 +131,7 @@ class MergeReplay:
         return np.array(offsets, np.int32), np.array(ids, np.int32)
 
 
-def encode(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, rows_at_once: int = 512, chars_at_once: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, rows_at_once: int = 1 << 20, chars_at_once: int = 4_000_000) -> DataFrame:
     """(doc_id, ids) of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_merges(os.fspath(tokenizer)))

@@ -13,6 +13,9 @@ Trees are repeated until a pair at the threshold is met with probability ``recal
 that loses nothing (the parity sketches of two sets differ in at most as many bits as the sets differ in tokens) and then
 verified exactly on the whole texts.
 
+A path that a large part of all records takes is not gathered in one task: once a task has seen more than ``node_limit`` rows of it, the others
+travel apart and meet only in the splits.
+
 What moves between executors is 40 bytes per record and tree. A record's own paths need no other record, so the only
 shuffles are one by path, one for distinct candidates and the sort-merge joins that fetch the texts of the candidates.
 
@@ -145,13 +148,50 @@ def _slices(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.Recor
         yield from parts(b, list(texts), _ROWS, _CHARS)
 
 
+#: set sizes that mark a row: its node is large elsewhere; it belongs to a large node, whose path stands in place of the sketch
+_LARGE, _DIVERTED = -1, -2
+
+
+class Diversion:
+    """Keeps large nodes from gathering in one task. Rows per path are tallied in a fixed table of counters, so that no
+    path is underrated. Once a path has more than ``limit`` rows in this task, further rows of it go by a path of their own, to be
+    passed on for splitting wherever they land, and a marker tells the node's task that the node is large."""
+
+    BITS = 20
+
+    def __init__(self, limit: int):
+        self.limit, self.counts, self.told = limit, np.zeros(1 << self.BITS, np.int64), set()
+
+    def __call__(self, path, h, size, s1, s2, up) -> tuple[np.ndarray, ...]:
+        slot = (path >> np.uint64(64 - self.BITS)).astype(np.int64)
+        name, inverse, n = np.unique(slot, return_inverse=True, return_counts=True)
+        self.counts[name] += n
+        over = (self.counts[name] > self.limit)[inverse]
+        if not over.any():
+            return path, h, size, s1, s2, up
+        new = [x for x in np.unique(path[over]).tolist() if x not in self.told]
+        self.told.update(new)
+        own = (path ^ h.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mark = np.array(new, np.uint64)
+        zero = np.zeros(len(new), np.uint64)
+        return (
+            np.concatenate((np.where(over, own ^ (own >> np.uint64(32)), path), mark)),
+            np.concatenate((h, zero.view(np.int64))),
+            np.concatenate((np.where(over, _DIVERTED, size), np.full(len(new), _LARGE))),
+            np.concatenate((np.where(over, path, s1), zero)),
+            np.concatenate((s2, zero)),
+            np.concatenate((up, np.zeros(len(new), up.dtype))),
+        )
+
+
 def _emit(path, h, size, s1, s2, up) -> pa.RecordBatch:
     cols = [path.view(np.int64), h, size.astype(np.int32), s1.view(np.int64), s2.view(np.int64), up]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_PATHS)
 
 
-def _first_paths(q: int, trees: int, depth: int):
+def _first_paths(q: int, trees: int, depth: int, limit: int = 1 << 62):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        divert = Diversion(limit)
         for b in _slices(batches, "s"):
             rows, tok, start, size, s1, s2 = _signatures(b.column("s").to_pylist(), q)
             if not len(rows):
@@ -161,13 +201,14 @@ def _first_paths(q: int, trees: int, depth: int):
                 path = np.full(len(rows), (t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1), np.uint64)
                 for _ in range(depth):
                     path = _step(tok, start, size, path, 0)
-                yield _emit(path, h, size, s1, s2, up)
+                yield _emit(*divert(path, h, size, s1, s2, up))
 
     return run
 
 
-def _next_paths(q: int, branches: int):
+def _next_paths(q: int, branches: int, limit: int = 1 << 62):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        divert = Diversion(limit)
         for b in _slices(batches, "s"):
             rows, tok, start, size, s1, s2 = _signatures(b.column("s").to_pylist(), q)
             if not len(rows):
@@ -176,7 +217,7 @@ def _next_paths(q: int, branches: int):
             if not branches:  # as they are, to be compared
                 yield _emit(at, h, size, s1, s2, up)
             for k in range(branches):
-                yield _emit(_step(tok, start, size, at, k + 1), h, size, s1, s2, up)
+                yield _emit(*divert(_step(tok, start, size, at, k + 1), h, size, s1, s2, up))
 
     return run
 
@@ -215,8 +256,10 @@ def _nodes(num: int, den: int, limit: int | None):
             path = cols[0]
             cuts = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
             runs = np.diff(np.append(cuts, len(path)))
-            big = np.repeat(runs > limit, runs) if limit else np.zeros(len(path), bool)
+            marker = cols[2] == _LARGE
+            big = np.repeat((runs > limit) | np.logical_or.reduceat(marker, cuts), runs) if limit else np.zeros(len(path), bool)
             if big.any():
+                cols, path, big, runs = [c[~marker] for c in cols], path[~marker], big[~marker], runs - np.add.reduceat(marker, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[1][big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(path[big]), pa.array(cols[5][big])], schema=_OUT)
                 cols = [c[~big] for c in cols]
             pairable = np.repeat(runs > 1, runs)[~big]
@@ -225,7 +268,15 @@ def _nodes(num: int, den: int, limit: int | None):
 
         for b in batches:
             cols = [b.column(c).to_numpy() for c in ("path", "h", "n", "s1", "s2", "up")]
+            away = cols[2] == _DIVERTED
+            if away.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1][away]), pa.nulls(int(away.sum()), pa.int64()), pa.array(cols[3][away]), pa.array(cols[5][away])], schema=_OUT)
+                cols = [c[~away] for c in cols]
+                if not len(cols[0]):
+                    continue
             if passing is not None:
+                same = cols[0] == passing
+                cols = [c[~(same & (cols[2] == _LARGE))] for c in cols]
                 same = cols[0] == passing
                 if same.any():
                     yield pa.RecordBatch.from_arrays([pa.array(cols[1][same]), pa.nulls(int(same.sum()), pa.int64()), pa.array(cols[0][same]), pa.array(cols[5][same])], schema=_OUT)
@@ -291,7 +342,7 @@ def _candidates(lig: DataFrame, num: int, den: int, q: int, trees: int, depth: i
     def compared(paths: DataFrame, limit: int | None) -> DataFrame:
         return cut(paths.repartition("path").sortWithinPartitions("path").mapInArrow(_nodes(num, den, limit), "a long, b long, path long, up int"), "nodes")
 
-    paths, found = lig.select("h", "s").mapInArrow(_first_paths(q, trees, depth), _PATHS_DDL), None
+    paths, found = lig.select("h", "s").mapInArrow(_first_paths(q, trees, depth, node_limit), _PATHS_DDL), None
     for k in range(max_splits + 1):
         out = compared(paths, node_limit)
         pairs = out.where("b is not null").select("a", "b")
@@ -305,7 +356,7 @@ def _candidates(lig: DataFrame, num: int, den: int, q: int, trees: int, depth: i
         cells = _blocks(big.where(stuck).select("path", "h", "up"), node_limit)
         found = found.union(compared(cells.join(lig.hint("merge"), "h").select("path", "h", "s", "up").mapInArrow(_next_paths(q, 0), _PATHS_DDL), None).select("a", "b"))
         if k < max_splits:
-            paths = big.where(~stuck).select("path", "h", F.col("now").alias("up")).join(lig.hint("merge"), "h").select("path", "h", "s", "up").mapInArrow(_next_paths(q, BRANCHES), _PATHS_DDL)
+            paths = big.where(~stuck).select("path", "h", F.col("now").alias("up")).join(lig.hint("merge"), "h").select("path", "h", "s", "up").mapInArrow(_next_paths(q, BRANCHES, node_limit), _PATHS_DDL)
     return found.distinct()
 
 

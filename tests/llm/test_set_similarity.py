@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
-from taintgraph.llm.set_similarity import BRANCHES, _first_paths, n_trees, shingle_keys, similar_pairs
+from taintgraph.llm.set_similarity import _DIVERTED, _LARGE, BRANCHES, Diversion, _first_paths, n_trees, shingle_keys, similar_pairs
 
 
 def brute(texts, q, num, den):
@@ -96,3 +97,24 @@ def test_trees_count_the_splits():
     for splits in (0, 4, 8, 16):
         n = n_trees(0.7, 0.9995, 3, splits)
         assert (1 - 0.7**3 * (1 - 0.3**BRANCHES) ** splits) ** n <= 0.0005
+
+
+def test_rows_of_a_hot_path_travel_apart():
+    d = Diversion(3)
+    path = np.array([7 << 50] * 5 + [9 << 50] * 2, np.uint64)
+    row = lambda p: d(p, np.arange(len(p)), np.full(len(p), 20), np.ones(len(p), np.uint64), np.ones(len(p), np.uint64), np.zeros(len(p), np.int32))
+    p, h, n, s1, _, _ = row(path)
+    assert (n == _DIVERTED).sum() == 5 and (n == _LARGE).sum() == 1 and p[n == _LARGE].tolist() == [7 << 50] and len(set(p[n == _DIVERTED].tolist())) == 5
+    assert set(s1[n == _DIVERTED].tolist()) == {7 << 50} and p[(n > 0)].tolist() == [9 << 50] * 2
+    p, h, n, *_ = row(path[:2])
+    assert (n == _DIVERTED).all()  # the marker is sent once
+
+
+def test_a_hot_family_loses_no_pair(spark):
+    rnd = random.Random(9)
+    core = "".join(rnd.choice("CNOcn()=") for _ in range(50))
+    t = [core + "".join(rnd.choice("CNOcn") for _ in range(8)) for _ in range(200)] + families(10, 100)
+    for slices in (1, 6):
+        df = spark.createDataFrame([(x,) for x in t], "t string").repartition(slices)
+        got = {tuple(sorted((r["ta"], r["tb"]))) for r in similar_pairs(df, "t", node_limit=12).collect()}
+        assert got == brute(set(t), 6, 7, 10)

@@ -117,8 +117,10 @@ def _step(tok: np.ndarray, start: np.ndarray, size: np.ndarray, path: np.ndarray
     return nxt ^ (nxt >> np.uint64(31))
 
 
-_PATHS = pa.schema([("path", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("up", pa.int32())])
-_PATHS_DDL = "path long, h long, n int, s1 long, s2 long, up int"
+#: ``n`` holds the set size and, from bit ``UP`` on, the binary logarithm of the size of the node above
+_PATHS = pa.schema([("path", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+_PATHS_DDL = "path long, h long, n long, s1 long, s2 long"
+UP = 40
 
 
 def _set_keys(q: int):
@@ -148,7 +150,8 @@ def _slices(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.Recor
         yield from parts(b, list(texts), _ROWS, _CHARS)
 
 
-#: set sizes that mark a row: its node is large elsewhere; it belongs to a large node, whose path stands in place of the sketch
+#: what stands in ``n`` of a row that says that its node is large, and, less the logarithm of the node above, of one that
+#: belongs to a large node, whose path stands in place of the sketch
 _LARGE, _DIVERTED = -1, -2
 
 
@@ -163,12 +166,13 @@ class Diversion:
         self.limit, self.counts, self.told = limit, np.zeros(1 << self.BITS, np.int64), set()
 
     def __call__(self, path, h, size, s1, s2, up) -> tuple[np.ndarray, ...]:
+        n = size | up << UP
         slot = (path >> np.uint64(64 - self.BITS)).astype(np.int64)
-        name, inverse, n = np.unique(slot, return_inverse=True, return_counts=True)
-        self.counts[name] += n
+        name, inverse, rows = np.unique(slot, return_inverse=True, return_counts=True)
+        self.counts[name] += rows
         over = (self.counts[name] > self.limit)[inverse]
         if not over.any():
-            return path, h, size, s1, s2, up
+            return path, h, n, s1, s2
         new = [x for x in np.unique(path[over]).tolist() if x not in self.told]
         self.told.update(new)
         own = (path ^ h.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -177,15 +181,14 @@ class Diversion:
         return (
             np.concatenate((np.where(over, own ^ (own >> np.uint64(32)), path), mark)),
             np.concatenate((h, zero.view(np.int64))),
-            np.concatenate((np.where(over, _DIVERTED, size), np.full(len(new), _LARGE))),
+            np.concatenate((np.where(over, _DIVERTED - up, n), np.full(len(new), _LARGE))),
             np.concatenate((np.where(over, path, s1), zero)),
             np.concatenate((s2, zero)),
-            np.concatenate((up, np.zeros(len(new), up.dtype))),
         )
 
 
-def _emit(path, h, size, s1, s2, up) -> pa.RecordBatch:
-    cols = [path.view(np.int64), h, size.astype(np.int32), s1.view(np.int64), s2.view(np.int64), up]
+def _emit(path, h, n, s1, s2) -> pa.RecordBatch:
+    cols = [path.view(np.int64), h, n, s1.view(np.int64), s2.view(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_PATHS)
 
 
@@ -196,7 +199,7 @@ def _first_paths(q: int, trees: int, depth: int, limit: int = 1 << 62):
             rows, tok, start, size, s1, s2 = _signatures(b.column("s").to_pylist(), q)
             if not len(rows):
                 continue
-            h, up = b.column("h").to_numpy()[rows], np.zeros(len(rows), np.int32)
+            h, up = b.column("h").to_numpy()[rows], np.zeros(len(rows), np.int64)
             for t in range(trees):
                 path = np.full(len(rows), (t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1), np.uint64)
                 for _ in range(depth):
@@ -213,9 +216,9 @@ def _next_paths(q: int, branches: int, limit: int = 1 << 62):
             rows, tok, start, size, s1, s2 = _signatures(b.column("s").to_pylist(), q)
             if not len(rows):
                 continue
-            h, at, up = b.column("h").to_numpy()[rows], b.column("path").to_numpy()[rows].view(np.uint64), b.column("up").to_numpy()[rows]
+            h, at, up = b.column("h").to_numpy()[rows], b.column("path").to_numpy()[rows].view(np.uint64), b.column("up").to_numpy()[rows].astype(np.int64)
             if not branches:  # as they are, to be compared
-                yield _emit(at, h, size, s1, s2, up)
+                yield _emit(at, h, size | up << UP, s1, s2)
             for k in range(branches):
                 yield _emit(*divert(_step(tok, start, size, at, k + 1), h, size, s1, s2, up))
 
@@ -250,6 +253,7 @@ def _nodes(num: int, den: int, limit: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        passed = lambda h, path, up: pa.RecordBatch.from_arrays([pa.array(h), pa.nulls(len(h), pa.int64()), pa.array(path), pa.array(up.astype(np.int32))], schema=_OUT)
         passing = None  # path of a node known to be too large: its rows go through without being held
 
         def flush(cols):
@@ -260,17 +264,17 @@ def _nodes(num: int, den: int, limit: int | None):
             big = np.repeat((runs > limit) | np.logical_or.reduceat(marker, cuts), runs) if limit else np.zeros(len(path), bool)
             if big.any():
                 cols, path, big, runs = [c[~marker] for c in cols], path[~marker], big[~marker], runs - np.add.reduceat(marker, cuts)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[1][big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(path[big]), pa.array(cols[5][big])], schema=_OUT)
+                yield passed(cols[1][big], path[big], cols[2][big] >> UP)
                 cols = [c[~big] for c in cols]
             pairable = np.repeat(runs > 1, runs)[~big]
             cols = [c[pairable] for c in cols]
-            yield from _compare(cols[0], cols[1], cols[2].astype(np.int64), cols[3].view(np.uint64), cols[4].view(np.uint64), num, den)
+            yield from _compare(cols[0], cols[1], cols[2] & ((1 << UP) - 1), cols[3].view(np.uint64), cols[4].view(np.uint64), num, den)
 
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("path", "h", "n", "s1", "s2", "up")]
-            away = cols[2] == _DIVERTED
+            cols = [b.column(c).to_numpy() for c in ("path", "h", "n", "s1", "s2")]
+            away = cols[2] <= _DIVERTED
             if away.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cols[1][away]), pa.nulls(int(away.sum()), pa.int64()), pa.array(cols[3][away]), pa.array(cols[5][away])], schema=_OUT)
+                yield passed(cols[1][away], cols[3][away], _DIVERTED - cols[2][away])
                 cols = [c[~away] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -279,7 +283,7 @@ def _nodes(num: int, den: int, limit: int | None):
                 cols = [c[~(same & (cols[2] == _LARGE))] for c in cols]
                 same = cols[0] == passing
                 if same.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[1][same]), pa.nulls(int(same.sum()), pa.int64()), pa.array(cols[0][same]), pa.array(cols[5][same])], schema=_OUT)
+                    yield passed(cols[1][same], cols[0][same], cols[2][same] >> UP)
                     cols = [c[~same] for c in cols]
                 if not len(cols[0]):
                     continue

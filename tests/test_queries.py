@@ -12,23 +12,23 @@ duckdb = pytest.importorskip("duckdb")
 NAMES = sorted(set(entry_module.queries()) - {k for k in entry_module.queries() if k.startswith(("p2_", "p3_", "p5_", "p7_", "p8_", "p9_", "p10_"))})
 
 
-def _col(df, got, c):
+def column(df, got, c):
     """Values of one column, each as often as it stands there."""
     k = sorted(df.columns).index(c)
     return [r[k] for r, n in got.items() for _ in range(n)]
 
 
-def _count(db, sql):
+def count(db, sql):
     return db.execute(sql).fetchone()[0]
 
 
 def _scores(df, got, path, db):
-    ids, s = _col(df, got, "node_id"), _col(df, got, "score")
+    ids, s = column(df, got, "node_id"), column(df, got, "score")
     return len(ids) == len(set(ids)) > 0 and all(0 <= x <= 1 for x in s) and len(set(s)) > 1
 
 
 def _intervals(df, got, path, db):
-    lo, hi = _col(df, got, "lower"), _col(df, got, "upper")
+    lo, hi = column(df, got, "lower"), column(df, got, "upper")
     return len(lo) > 0 and all(a is None or a <= b for a, b in zip(lo, hi))
 
 
@@ -43,13 +43,9 @@ def _same_as_small(name):
 
 #: what a query without SQL is checked for
 NO_SQL = {
-    "p6_origins": lambda df, got, path, db: sum(_col(df, got, "n_with_value")) >= entry_module.queries()["p6_found"](df.sparkSession, path).count() and sum(_col(df, got, "n")) <= _count(db, "select count(*) from (select distinct * from activities)") and all(a >= b for a, b in zip(_col(df, got, "n"), _col(df, got, "n_with_value"))),
+    "p6_origins": lambda df, got, path, db: sum(column(df, got, "n_with_value")) >= entry_module.queries()["p6_found"](df.sparkSession, path).count() and sum(column(df, got, "n")) <= count(db, "select count(*) from (select distinct * from activities)") and all(a >= b for a, b in zip(column(df, got, "n"), column(df, got, "n_with_value"))),
     "rf_score": _scores,
     "lr_score": _scores,
-    "p8_ids": lambda df, got, path, db: sorted(_col(df, got, "doc_id")) == [r[0] for r in db.execute("select doc_id from documents order by 1").fetchall()] and all(isinstance(x, tuple) for x in _col(df, got, "ids")),
-    "p8_counts": lambda df, got, path, db: _col(df, got, "n_docs") == [_count(db, "select count(*) from documents")] and _col(df, got, "n_empty")[0] == _count(db, "select count(*) from documents where coalesce(text, '') = ''"),
-    "p10_found": lambda df, got, path, db: 0 < len(got) == sum(got.values()) and set(_col(df, got, "doc_id")) <= {r[0] for r in db.execute("select doc_id from documents where trim(text) <> ''").fetchall()},
-    "p10_kinds": lambda df, got, path, db: sum(_col(df, got, "n_docs")) == entry_module.queries()["p10_found"](df.sparkSession, path).count() and (False, False, False, False) not in {tuple(x) for x in zip(*[_col(df, got, c) for c in ("slot", "filler", "error", "scripts")])},
     "bootstrap_ci_full": _intervals,
     "baseline_compare_full": _intervals,
     "delta_auroc_test_full": _intervals,
@@ -74,13 +70,14 @@ def norm(v):
     return v
 
 
-def check(name, spark, path, db):
+def check(name, spark, path, db, no_sql=None):
     df = entry_module.queries()[name](spark, path)
     cols = sorted(df.columns)
     got = Counter(tuple(norm(r[c]) for c in cols) for r in df.collect())
     sql = entry_module.oracle_sql().get(name)
     if sql is None:
-        assert name in NO_SQL and NO_SQL[name](df, got, path, db), name
+        checks = NO_SQL if no_sql is None else no_sql
+        assert name in checks and checks[name](df, got, path, db), name
         return
     cur = db.execute(sql)
     names = [d[0] for d in cur.description]

@@ -334,9 +334,10 @@ def matches(index: FullTextIndex, texts: list[str], edits: int, most: int = 200_
     names, where = np.unique(pair, return_inverse=True)
     pq, pe = names // len(index.lens), names % len(index.lens)
     good = np.zeros(len(names), bool)
-    for lot in range(0, len(names), 20_000):
-        a, b = pe[lot : lot + 20_000], pq[lot : lot + 20_000]
-        good[lot : lot + 20_000] = within_edits([index.texts[x] for x in a], [texts[x] for x in b], edits)
+    at_once = max(1, min(20_000, 4_000_000 // (int(lens.max()) + 1)))  # long texts in small lots
+    for lot in range(0, len(names), at_once):
+        a, b = pe[lot : lot + at_once], pq[lot : lot + at_once]
+        good[lot : lot + at_once] = within_edits([index.texts[x] for x in a], [texts[x] for x in b], edits)
     keep = good[where]
     q, e, p, off, where = q[keep], e[keep], p[keep], off[keep], where[keep]
     if not len(q):

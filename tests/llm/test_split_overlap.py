@@ -160,3 +160,10 @@ def test_spelling_of_ids(spark, tmp_path):
     side.write.parquet(f"{tmp_path}/side_table.parquet")
     spark.createDataFrame([("ex:SRC:A", "Train", "random"), ("EX:src:b", "test", "random")], "node_id string, fold string, protocol string").write.parquet(f"{tmp_path}/split_result.parquet")
     assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [("ex:SRC:b", "ex:src:a")]
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(6)
+    t = "".join(rnd.choice("CNO1()=c") for _ in range(60_000))
+    rows = [row("t1", "train", None, t), row("e1", "eval", None, t[:40_000] + "F" + t[40_001:]), row("e2", "eval", None, t[:30_000] + t[30_003:]), row("e3", "eval", None, "CC")]
+    assert overlapping(spark, rows) == {("e1", "t1")}
